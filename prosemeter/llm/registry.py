@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemeter.llm import sharding, simhash, tokencount, topk
-from prosemeter.llm.common import table
+from prosemeter.llm import decontam, langid, mixing, sharding, simhash, tokencount, topk, warc
+from prosemeter.llm.common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,27 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    version = F.when(F.coalesce(F.col("page_id"), F.lit(0)) % 2 == 0, 1).otherwise(2)
+    records = warc.convert(warc.to_arc(pages, "page_id", "url", "html", version)).where("warc_type <> 'warcinfo'")
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.mark_revisits(records), path)
+    back = warc.read_warc(spark, path)
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_key").alias("refers_to"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -36,18 +57,41 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = mixing.mix(docs.select("doc_id", "source", "lang", "text"))
+    return kept.select(
+        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
+        F.col("__tokens").alias("tokens"), F.round("weight", 9).alias("weight"), F.round("prob", 9).alias("prob"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
     "op5_exact_topk": op5_exact_topk,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+""",
+    "op9_mixing": mixing.mix_sql(),
     "op5_exact_topk": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
