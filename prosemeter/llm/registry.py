@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemeter.llm import decontam, langid, mixing, sharding, simhash, tokencount, topk, warc
+from prosemeter.llm import decontam, langid, licenses, mixing, sharding, simhash, tokencount, topk, warc
 from prosemeter.llm.common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_key").alias("refers_to"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
+    "op4_license_scan": op4_license_scan,
     "op5_exact_topk": op5_exact_topk,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
