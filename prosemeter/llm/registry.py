@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemeter.llm import decontam, langid, licenses, mixing, sharding, simhash, tokencount, topk, warc
+from prosemeter.llm import decontam, langid, licenses, mixing, sharding, simhash, suffix_dedup, tokencount, topk, warc
 from prosemeter.llm.common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.token_counts(docs, vocabulary_path()).drop("text")
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op4_license_scan": op4_license_scan,
     "op5_exact_topk": op5_exact_topk,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
