@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from prosemeter.llm.common import n_bytes
 
 SHARDS = 40
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
+#: So many buckets at least, so that a small table spreads over tasks.
+MIN_BUCKETS = 64
 SEED = 1729
 #: Fixed by the contract: what each record counts besides its text.
 RECORD_BYTES = 16
@@ -39,7 +41,7 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
         raise ValueError(f"columns already there: {sorted(clash)}")
     sized = docs.withColumn("size", n_bytes(F.col(text_col)) + RECORD_BYTES)
     total = sized.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
+    buckets = max(MIN_BUCKETS, -(-int(total) // bucket_bytes))
     mixed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col("size"))
     scattered = sized.withColumn("__bucket", F.pmod(mixed, F.lit(buckets)).cast("int"))
     counts = [0] * buckets
