@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from prosemeter.plans import readability
+from prosemeter.plans import readability, simplification
 
-MODULES = (readability,)
+MODULES = (readability, simplification)
 
 
 def queries() -> dict:
