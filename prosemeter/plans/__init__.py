@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from prosemeter.plans import readability, simplification
+from prosemeter.plans import nested, readability, simplification
 
-MODULES = (readability, simplification)
+MODULES = (readability, simplification, nested)
 
 
 def queries() -> dict:
