@@ -62,12 +62,15 @@ def blank(c: Column, kind: Ty.DataType) -> Column:
 
 
 def get_path(df: DataFrame, path: str, default: Column | None = None) -> Column:
-    """The value at a path, or the default where it is blank or nowhere."""
-    default = F.lit("") if default is None else default
+    """The value at a path; where it is blank or nowhere, the default, which must be of the value's
+    type (without one: empty text for texts, else null)."""
     col = resolve_path(df.schema, path)
     if col is None:
-        return default
-    return F.when(blank(col, df.select(col.alias("x")).schema["x"].dataType), default).otherwise(col)
+        return F.lit("") if default is None else default
+    kind = df.select(col.alias("x")).schema["x"].dataType
+    if default is None:
+        default = F.lit("") if isinstance(kind, Ty.StringType) else F.lit(None).cast(kind)
+    return F.when(blank(col, kind), default).otherwise(col)
 
 
 def set_path(df: DataFrame, path: str, value: Column) -> DataFrame:

@@ -40,7 +40,7 @@ TEST_SETS = {
     "googlecomp_valid": TestSet("googlecomp/googlecomp.valid.orig", "googlecomp/googlecomp.valid.comp", 1),
     "qats_test": TestSet("qats/qats.test.orig", "qats/qats.test.simp", 1),
 }
-ALIASES = {"turk": "turkcorpus_test", "turk_valid": "turkcorpus_valid", "turkcorpus_test_truecase": "turkcorpus_test", "turkcorpus_valid_truecase": "turkcorpus_valid"}
+ALIASES = {"turk": "turkcorpus_test", "turk_valid": "turkcorpus_valid"}
 CUSTOM = "custom"
 
 
