@@ -24,7 +24,7 @@ def records(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, text): lines stripped, blank ones kept, a final line break opens no line."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\r?\n$", "").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n$", "").alias("v"))
     return whole.select(F.posexplode(F.split("v", r"\r?\n")).alias("row_id", "text")).select(F.col("row_id").cast("long").alias("row_id"), T.strip(F.col("text")).alias("text"))
 
 
@@ -81,7 +81,7 @@ def papers(spark: SparkSession, path: str, which: str = "All") -> DataFrame:
 def titled_texts(spark: SparkSession, path: str) -> DataFrame:
     """(title, text) of whole files; the title is the file name up to its first dot."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.element_at(F.split(name, r"\."), 1).alias("title"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.element_at(F.split(name, r"\."), 1).alias("title"), F.col("value").alias("text"))
 
 
 def articles(rows: DataFrame, field: str) -> DataFrame:
@@ -99,7 +99,7 @@ def batch_responses(spark: SparkSession, path: str) -> DataFrame:
     """Response JSONL, the last line of each custom_id."""
     from prosemeter.operators.exchange import RESPONSE, latest
 
-    one = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("trim(line) <> ''")
+    one = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where("trim(line) <> ''")
     parsed = one.select("file", "at", F.from_json("line", RESPONSE).alias("r")).select("r.*", "file", "at")
     return latest(parsed, "custom_id", ["file", "at"]).drop("file", "at")
 
