@@ -3,12 +3,13 @@
 Every stage works on all that its predecessor kept, returns the columns of `documents`
 (the last adds size, shard and slot) and is written as Parquet before the next reads it.
 Null doc_ids, texts, languages and sources pass through the stages as the operators say;
-an empty table gives an empty corpus.
+an empty table gives an empty corpus. Further columns of `documents` travel with their rows,
+but for ones named size, shard or slot, which the last stage replaces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemeter.llm import decontam, langid, mixing, sharding, simhash
@@ -21,20 +22,23 @@ LEAST_HIT_RATE = 0.2
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts in none of the learned languages."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang"))
-    judged = langid.predict(docs, model)
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("hit_rate") >= LEAST_HIT_RATE)
+    judged = langid.predict(docs, model, prefix="__")
+    known = (F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__hit_rate") >= LEAST_HIT_RATE)
     return judged.where(known).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; rows that repeat it go, but one.
+    """Keeps the document with the smallest doc_id of each group; of rows that repeat it, the one with
+    the smallest hash of its text.
 
     Rows without a doc_id are kept: no group can name them.
     """
     groups = simhash.near_duplicates(docs)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     named = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.col(c) for c in ("lang", "source") if c in docs.columns))
+    one = named.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

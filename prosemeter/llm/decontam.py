@@ -118,7 +118,7 @@ def longest(equal: np.ndarray, similarity: float) -> tuple[int, int, int] | None
     low = np.minimum.accumulate(score[on])  # smallest score at a start up to here
     best = None
     for e in on[::-1].tolist():
-        if best and e + 1 - int(on[0]) <= best[1] - best[0]:
+        if best and e + 1 - int(on[0]) < best[1] - best[0]:
             break
         s = int(on[np.searchsorted(-low, -(score[e + 1] + 1e-9), "left")]) if low[-1] <= score[e + 1] + 1e-9 else None
         if s is not None and s <= e and (best is None or e + 1 - s > best[1] - best[0] or (e + 1 - s == best[1] - best[0] and s < best[0])):

@@ -174,12 +174,12 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, grams_p
     return Filter.of({k: np.array(v, dtype=np.int64).view(np.uint64) for k, v in members.items()})
 
 
-def predict(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score, and hit_rate: the winner's corrected hits per n-gram."""
-    made = ["lang_pred", "score", "hit_rate"]
-    if clash := set(made) & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "hit_rate": F.lit(0.0)}).schema
+def predict(docs: DataFrame, model: Filter, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Adds lang_pred, score, and hit_rate: the winner's corrected hits per n-gram; `prefix` goes
+    before these names. Columns of these names are replaced."""
+    made = [prefix + c for c in ("lang_pred", "score", "hit_rate")]
+    docs = docs.drop(*made)
+    schema = docs.withColumns(dict(zip(made, (F.lit("").cast("string"), F.lit(0.0), F.lit(0.0))))).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: slots times languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ Documents reduce to cells (with map-side combine) before any exchange; the rakin
 on the cells alone. Null sources, languages and topics are a value of their own,
 `(null)`. Texts without tokens are kept with their cell's probability, 1 where the cell
 has none. The draw is a hash of seed and doc_id, so repeated rows are kept or dropped
-together, and a rerun keeps the same rows. An empty table gives an empty table.
+together, and a rerun keeps the same rows. Added columns start with two underscores, so
+no ordinary name clashes. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -81,20 +82,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
 
 
 def calibrated(docs: DataFrame, budget: float = BUDGET, **options) -> DataFrame:
-    """Documents (as `described` made them) with weight and prob of their cell."""
+    """Documents (as `described` made them) with __weight and __prob of their cell."""
     keys = [f"__{d}" for d in DIMENSIONS]
     cells = docs.groupBy(*keys).agg(F.sum("__tokens").alias("tokens"))
     weights = rake(cells, **options)
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(budget) * total / F.col("tokens"))).otherwise(1.0)
-    weights = cut(weights.withColumn("prob", prob).select(*keys, "weight", "prob"), "weights")
+    weights = cut(weights.withColumn("prob", prob).select(*keys, F.col("weight").alias("__weight"), F.col("prob").alias("__prob")), "weights")
     return docs.join(weights, keys)
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, seed: int = SEED, text_col: str = "text", tokens_col: str | None = None, topic_col: str | None = None, **options) -> DataFrame:
-    """The sampled documents, with weight and prob of their cell added."""
+    """The sampled documents, with __source, __lang, __topic, __tokens, and __weight and __prob of
+    their cell added."""
     all_docs = calibrated(described(docs, text_col, tokens_col, topic_col), budget, **options)
-    return all_docs.where(draw(F.col("doc_id"), seed) < F.col("prob"))
+    return all_docs.where(draw(F.col("doc_id"), seed) < F.col("__prob"))
 
 
 def mix_sql(budget: float = BUDGET, seed: int = SEED, rounds: int = ROUNDS, table: str = "documents") -> str:

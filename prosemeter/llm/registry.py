@@ -70,7 +70,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mixing.mix(docs.select("doc_id", "source", "lang", "text"))
     return kept.select(
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
-        F.col("__tokens").alias("tokens"), F.round("weight", 9).alias("weight"), F.round("prob", 9).alias("prob"),
+        F.col("__tokens").alias("tokens"), F.round("__weight", 9).alias("weight"), F.round("__prob", 9).alias("prob"),
     )
 
 
@@ -78,6 +78,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {

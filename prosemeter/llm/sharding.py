@@ -9,7 +9,8 @@ The number of buckets follows from the bytes of the input; their counts, eight b
 each, are all that reaches the driver. The hash takes id, text and size, so groups of
 equal texts spread over buckets; only rows that repeat id and text share one. Null
 texts have size 16 and crc 0; null ids hash like a value of their own. Rows repeat as
-often as in the input, further columns travel with their rows. Fewer rows than shards
+often as in the input, further columns travel with their rows, ones named
+size, shard or slot are replaced. An empty table gives an empty table. Fewer rows than shards
 leave the last shards empty. The same rows and seed always give the same shards.
 """
 
@@ -36,9 +37,7 @@ RECORD_BYTES = 16
 
 def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows with columns size, shard and slot added, bucket by bucket in shuffled order."""
-    made = {"size", "shard", "slot", "__bucket"}
-    if clash := made & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs = docs.drop("size", "shard", "slot", "__bucket")
     sized = docs.withColumn("size", n_bytes(F.col(text_col)) + RECORD_BYTES)
     total = sized.agg(F.sum("size")).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-int(total) // bucket_bytes))

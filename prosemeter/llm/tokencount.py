@@ -9,7 +9,8 @@ their own. Counts of a text are running sums over its pre-tokens.
 Null texts count as empty (0 tokens). Special strings inside a text are one token
 each, as the library has it by default. Lone surrogates cannot occur: Spark strings
 are UTF-8. Rows repeat as often as in the input; further columns pass through
-`token_counts` untouched, and an existing column of an output's name is refused.
+`token_counts` untouched; one of an output's name is replaced. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -247,9 +248,7 @@ def token_counts(df: DataFrame, vocabulary: str, text_col: str = "text", limit:
     the bounded tables above.
     """
     made = ["n_bytes", "n_tokens", "over_limit", "kept_chunks", "kept_words", "kept_bytes"]
-    if clash := set(made) & set(df.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    src = df.withColumn("n_bytes", n_bytes(F.col(text_col)))
+    src = df.drop(*made).withColumn("n_bytes", n_bytes(F.col(text_col)))
     schema = src.withColumns({"n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(False), "kept_chunks": F.lit(0).cast("long"), "kept_words": F.lit(0).cast("long"), "kept_bytes": F.lit(0).cast("long")}).schema
     for f in schema.fields:
         f.nullable = True
