@@ -25,7 +25,7 @@ def test_sari_golden(spark):
 def test_sari_ignores_reference_order_and_partitions(spark):
     a = M.sari(M.tokenised(frame(spark)), ["row_id"], []).first()
     b = M.sari(M.tokenised(frame(spark, refs=[r[::-1] for r in REFS]).repartition(5)), ["row_id"], []).first()
-    assert a == b
+    assert tuple(a) == pytest.approx(tuple(b), abs=1e-9)
 
 
 def test_token_f1(spark):
