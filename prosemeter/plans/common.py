@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are long to compute on: dealt out where its files give fewer tasks than
+    there are cores (a small table in one row group); larger inputs are read as they lie."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -21,7 +28,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """(conv_id, turn, t0 .. tn-1): each run of n consecutive turns, by one grouping on
     (conv_id, turn), so that a long conversation spreads over tasks."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")  # the grouping below deals it out
     roles = c.select("conv_id", F.posexplode(F.array(*(F.col("turn") - i for i in range(n)))).alias("i", "turn"), "text")
     wide = roles.groupBy("conv_id", "turn").agg(*(F.max(F.when(F.col("i") == i, F.col("text"))).alias(f"t{i}") for i in range(n)))
     return wide.dropna(subset=[f"t{i}" for i in range(n)])

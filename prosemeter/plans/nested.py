@@ -13,7 +13,7 @@ from prosemeter.operators import exchange as X
 from prosemeter.operators import nested as N
 from prosemeter.operators import stats as S
 from prosemeter.plans import duck
-from prosemeter.plans.common import Query, rounded, table, turns, turns_sql
+from prosemeter.plans.common import Query, rounded, table, texts, turns, turns_sql
 
 REPLIES = (
     (1, "Coherence: 4.5 - reads well"), (1, "I would say 3"), (1, "no number"), (2, "Coherence: 2"), (2, "score 7 of 9"), (3, "nothing here"), (4, "Coherence:5"), (4, "5"),
@@ -161,7 +161,7 @@ def placeholder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the whole evaluation, by source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "source", "text")
     scored = E.evaluate(docs, perplexity=lambda c: F.length(c) / 10.0, figurativeness=lambda c: F.lit(0.25), emotionality=lambda c: F.lit(0.5))
     return rounded(E.statistics(E.output_records(scored), ["source"]))
 

@@ -11,22 +11,22 @@ from prosemeter.operators import documents as D
 from prosemeter.operators import stats as S
 from prosemeter.operators.simplification import fkgl
 from prosemeter.plans import duck
-from prosemeter.plans.common import Query, rounded, table
+from prosemeter.plans.common import Query, rounded, texts
 
 LEXICON = (("the", "NN", 0.5), ("and", "NN", 0.6), ("of", "NN", 0.7), ("thing", "JJ", 2.0), ("thing", "NN", 3.0), ("heiten", "NN", 4.0), ("que", "NN", 1.5), ("de", "NN", 1.0), ("tion", "NN", 3.5), ("ering", "JJ", 5.5))
 VALENCE = (("the", 0.1), ("and", -0.2), ("que", 0.5), ("von", -0.4), ("of", 0.3))
 
 
 def fkgl_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.readability(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return rounded(D.readability(texts(spark, sf_dir).select("doc_id", "text")).drop("text"))
 
 
 def fkgl_corpus_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.readability_of(table(spark, sf_dir, "documents"), ["source"]))
+    return rounded(D.readability_of(texts(spark, sf_dir), ["source"]))
 
 
 def fkgl_side_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    sides = texts(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     r = D.readability(sides.select("role", "text"))
     sums = r.rollup("role").agg(*(F.sum(c).alias(c) for c in ("n_sentences", "n_words", "n_syllables")), F.count("*").alias("n"))
     scored = sums.withColumn("fkgl", fkgl(F.col("n_words"), F.col("n_sentences"), F.col("n_syllables")))
@@ -34,7 +34,7 @@ def fkgl_side_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fkgl_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    sides = texts(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     r = D.readability_of(sides, ["role"])
     one = r.agg(F.max(F.when(F.col("role") == "user", F.col("fkgl"))).alias("user_fkgl"), F.max(F.when(F.col("role") == "assistant", F.col("fkgl"))).alias("assistant_fkgl"))
     gap = F.abs(F.col("user_fkgl") - F.col("assistant_fkgl"))
@@ -42,34 +42,34 @@ def fkgl_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readability_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = D.readability(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text"))
+    r = D.readability(texts(spark, sf_dir).select("doc_id", "n_chars", "text"))
     x = F.col("n_chars").cast("double")
     return r.groupBy("fkgl_label", B.ppl_label(x / 10).alias("ppl_label"), B.bucket(x / 1000, B.CEFR).alias("cefr_label"), B.bucket(F.least(x / 5000, F.lit(1.0)), B.VIVIDNESS).alias("vividness_label")).agg(F.count("*").alias("n"))
 
 
 def tokens_13a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    w = texts(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 def sentence_split_lookbehind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").select("doc_id", T.lookbehind_sentences(F.col("text")).alias("s"))
+    s = texts(spark, sf_dir).select("doc_id", T.lookbehind_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.length(F.array_join("s", "|")).alias("n_joined"))
 
 
 def syllables_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syllables scored once a distinct word; counts go along, so nothing is joined back."""
-    w = table(spark, sf_dir, "documents").select("lang", F.explode(T.words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
+    w = texts(spark, sf_dir).select("lang", F.explode(T.words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
     return w.groupBy("lang").agg(F.sum("count").alias("n_words"), F.count("*").alias("n_distinct"), F.sum(T.syllables(F.col("word")) * F.col("count")).alias("n_syllables"))
 
 
 def decorativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.decorativeness(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return rounded(D.decorativeness(texts(spark, sf_dir).select("doc_id", "text")).drop("text"))
 
 
 def vividness_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted composite with fallback components: word length for figurativeness, stop share for emotionality."""
-    d = D.decorativeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Weighted composite with stand-in components: text length for figurativeness, adverb share for emotionality."""
+    d = D.decorativeness(texts(spark, sf_dir).select("doc_id", "text"))
     fig = F.least(F.lit(1.0), F.length("text") / 20000)
     emo = F.least(F.lit(1.0), 5 * F.col("n_adverbs") / F.greatest(F.col("n_tokens"), F.lit(1)))
     v = B.vividness(fig, emo, F.col("decorativeness"))
@@ -78,23 +78,23 @@ def vividness_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_level_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.mean_of_means(table(spark, sf_dir, "documents"), ["doc_id"], lambda w: F.least(F.lit(1.0), F.length(w) / 20.0)))
+    return rounded(D.mean_of_means(texts(spark, sf_dir), ["doc_id"], lambda w: F.least(F.lit(1.0), F.length(w) / 20.0)))
 
 
 def cefr_lexicon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = spark.createDataFrame(list(LEXICON), "word string, pos string, level double")
-    scored = D.lexicon_level(table(spark, sf_dir, "documents"), lexicon, ["doc_id"])
+    scored = D.lexicon_level(texts(spark, sf_dir), lexicon, ["doc_id"])
     return rounded(scored.withColumn("label", B.bucket(F.round("level", 9), B.CEFR)))
 
 
 def emotion_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = spark.createDataFrame(list(VALENCE), "word string, valence double")
-    return rounded(D.lexicon_share(table(spark, sf_dir, "documents"), scores, ["doc_id"]))
+    return rounded(D.lexicon_share(texts(spark, sf_dir), scores, ["doc_id"]))
 
 
 def pairwise_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the next by doc_id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "n_chars", "text")
     s = D.decorativeness(D.readability(docs)).select("doc_id", "n_chars", "fkgl", "decorativeness")
     a = s.select("doc_id", *(F.col(c).alias(f"{c}_1") for c in ("n_chars", "fkgl", "decorativeness")))
     b = s.select((F.col("doc_id") - 1).alias("doc_id"), *(F.col(c).alias(f"{c}_2") for c in ("n_chars", "fkgl", "decorativeness")))
@@ -104,7 +104,7 @@ def pairwise_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "source", "n_chars", "text")
     s = D.decorativeness(D.readability(docs))
     failed = s.withColumn("coherence", F.when(F.col("doc_id") % 7 == 0, -1.0).otherwise(F.col("n_chars") / 100))
     return rounded(S.metric_statistics(failed, {"fkgl": True, "coherence": True, "decorativeness": False}, ["source"]))

@@ -10,13 +10,13 @@ from prosemeter.functions import text as T
 from prosemeter.operators import simplification as M
 from prosemeter.operators import stats as S
 from prosemeter.plans import duck
-from prosemeter.plans.common import Query, rounded, samples, turns, turns_sql
+from prosemeter.plans.common import Query, rounded, samples, texts, turns, turns_sql
 
 KEYS = ["conv_id", "turn"]
 
 
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", T.words(F.col("text")).alias("w"))
+    c = texts(spark, sf_dir, "conversations").select("role", T.words(F.col("text")).alias("w"))
     g = c.select("role", F.inline(M.gram_rows(F.col("w")))).groupBy("role", "n", "gram").count()
     return g.groupBy("role", "n").agg(F.count("*").alias("n_distinct"), F.sum("count").alias("n_grams"), F.max("count").alias("most"))
 
