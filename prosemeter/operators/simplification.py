@@ -115,7 +115,9 @@ def bleu_stats(samples: DataFrame, counts: DataFrame, by: list[str]) -> DataFram
     at = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0)).cast("long")
     hits = counts.groupBy(*by).agg(*(at(F.least("s", "r_max"), n).alias(f"c{n}") for n in range(1, ORDER + 1)), *(at(F.col("s"), n).alias(f"t{n}") for n in range(1, ORDER + 1)))
     sizes = lengths(samples).groupBy(*by).agg(F.sum("sys_len").alias("sys_len"), F.sum("ref_len").alias("ref_len"))
-    return sizes.join(hits, by, "left").fillna(0) if by else sizes.crossJoin(hits)
+    if not by:  # one row each
+        return sizes.withColumn("__one", F.lit(1)).join(hits.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return sizes.join(hits, by, "left").fillna(0)
 
 
 def bleu_scores(stats: DataFrame, smooth: str = "exp", floor: float = 0.1, effective: bool = False) -> Column:

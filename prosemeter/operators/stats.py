@@ -65,8 +65,8 @@ def top_k(rows: DataFrame, key: Column, tie: list[str], k: int = 50) -> DataFram
     return rows.orderBy(key, *tie).limit(k)
 
 
-def alignment_shapes(samples: DataFrame, orig_sentences: str, ref_sentences: str) -> DataFrame:
-    """Shares of 1-1, 1-N, N-N and N-1 among (source, reference) pairs, in percent."""
+def alignment_shapes(orig_sentences: str, ref_sentences: str) -> list[Column]:
+    """Aggregates: shares of 1-1, 1-N, N-N and N-1 among (source, reference) pairs, in percent."""
     o, r = F.greatest(F.col(orig_sentences), F.lit(1)) > 1, F.greatest(F.col(ref_sentences), F.lit(1)) > 1
     share = lambda test: F.round(100 * F.avg(F.when(test, 1.0).otherwise(0.0)), 1)
-    return samples.agg(share(~o & ~r).alias("one_to_one"), share(~o & r).alias("one_to_n"), share(o & r).alias("n_to_n"), share(o & ~r).alias("n_to_one"))
+    return [share(~o & ~r).alias("one_to_one"), share(~o & r).alias("one_to_n"), share(o & r).alias("n_to_n"), share(o & ~r).alias("n_to_one")]

@@ -12,6 +12,7 @@ from prosemeter.operators import evaluation as E
 from prosemeter.operators import exchange as X
 from prosemeter.operators import nested as N
 from prosemeter.operators import stats as S
+from prosemeter.operators import windows as Wd
 from prosemeter.plans import duck
 from prosemeter.plans.common import Query, rounded, table, texts, turns, turns_sql
 
@@ -166,7 +167,27 @@ def dataset_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.statistics(E.output_records(scored), ["source"]))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (keyfact_precision_recall, keyfact_wrapped_json, keyfact_alignment, mcq_accuracy, judge_scores, score_reply_parser, sections, request_response_merge, ppl_side_statistics, binary_classification_metrics, fold_average, lcs_words, edit_operations, sentence_operations, coalesce_keyfacts, drop_empty_projection, resume_antijoin, prefix_split_file, placeholder_names, dataset_evaluation)}
+def entity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal event types of a user."""
+    r = Wd.runs(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "event_type")
+    return r.groupBy("event_type").agg(F.count("*").alias("n_runs"), F.max("n").alias("longest"), F.sum("n").alias("n_events"))
+
+
+def neighbour_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words around each word of a benchmark item."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", T.words(F.col("text")).alias("w"))
+    n = w.select("item_id", F.posexplode(Wd.neighbours(F.col("w"))).alias("pos", "near"))
+    return n.select("item_id", "pos", F.array_join("near", " ").alias("near"))
+
+
+def request_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of requests: the latest without an error, else the latest."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("custom_id"), F.col("event_id").alias("attempt"), F.when(F.col("event_type") == "error", F.lit("timeout")).alias("error"))
+    best = X.best_attempt(e, "custom_id")
+    return best.select("custom_id", "attempt", "error", T.retryable(F.col("error")).alias("again"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (keyfact_precision_recall, keyfact_wrapped_json, keyfact_alignment, mcq_accuracy, judge_scores, score_reply_parser, sections, request_response_merge, ppl_side_statistics, binary_classification_metrics, fold_average, lcs_words, edit_operations, sentence_operations, coalesce_keyfacts, drop_empty_projection, resume_antijoin, prefix_split_file, placeholder_names, dataset_evaluation, entity_runs, neighbour_words, request_rounds)}
 
 
 def _values(rows: tuple) -> str:
@@ -210,5 +231,12 @@ SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std
     "prefix_split_file": f"""WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS row_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 p AS (SELECT doc_id, CAST(row_id AS INT) AS row_id, list_transform(string_split(replace(line, '. ', '.<::::>'), '<::::>'), lambda z: {duck.strip('z')}) AS ps FROM l)
 SELECT doc_id, row_id, CAST(len(ps) AS INT) AS n_parts, CAST(length(array_to_string(ps, ' ')) AS INT) AS n_chars FROM p""",
+    "entity_runs": """WITH l AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM l), r AS (SELECT user_id, event_type, run, count(*) AS n FROM n GROUP BY ALL)
+SELECT event_type, count(*) AS n_runs, max(n) AS longest, CAST(sum(n) AS BIGINT) AS n_events FROM r GROUP BY event_type""",
+    "neighbour_words": f"""WITH w AS (SELECT item_id, {duck.words('text')} AS w FROM benchmark), u AS (SELECT item_id, w, unnest(range(0, len(w))) AS pos FROM w)
+SELECT item_id, CAST(pos AS INT) AS pos, array_to_string(list_concat(w[greatest(pos - 2, 1):pos], w[pos + 2:pos + 4]), ' ') AS near FROM u""",
+    "request_rounds": """SELECT custom_id, attempt, error, error IS NOT NULL AS again FROM (SELECT CAST(user_id AS VARCHAR) AS custom_id, event_id AS attempt, CASE WHEN event_type = 'error' THEN 'timeout' END AS error,
+row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error', event_id DESC) AS r FROM events) x WHERE r = 1""",
     "placeholder_names": "SELECT * FROM (VALUES (1, 'ann lee went to rome .'), (2, 'nobody came'), (3, 'ann lee PERSON@2')) t(id, text)",
 }

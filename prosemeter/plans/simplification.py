@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemeter.functions import text as T
+from prosemeter.operators import report as R
 from prosemeter.operators import simplification as M
 from prosemeter.operators import stats as S
 from prosemeter.plans import duck
@@ -95,10 +96,7 @@ def scores_by_length_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_shape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = M.tokenised(samples(spark, sf_dir)).select(*KEYS, "orig", F.posexplode("refs").alias("ref_id", "ref"))
-    n = s.select("ref_id", F.size("orig").alias("ow"), F.size("ref").alias("rw"), T.boundary_sentences(F.col("orig")).alias("os"), T.boundary_sentences(F.col("ref")).alias("rs"))
-    head = n.agg(F.sum(F.when(F.col("ref_id") == 0, 1).otherwise(0)).alias("n_samples"), F.countDistinct("ref_id").alias("n_refs"), F.avg("ow").alias("words_source"), F.avg("rw").alias("words_reference"))
-    return rounded(head.crossJoin(S.alignment_shapes(n, "os", "rs")))
+    return rounded(R.description(samples(spark, sf_dir)))
 
 
 def feature_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +218,7 @@ e AS (SELECT CAST(i // (c // 5) AS INT) AS bin, n AS low, top FROM l WHERE i % (
 {_samples()}, {_GRAMS}, key AS (SELECT conv_id, turn, bin, low, high FROM smp JOIN lim ON length(otext) >= low AND length(otext) < high),
 cb AS (SELECT cnt.*, bin, low, high FROM cnt JOIN key USING (conv_id, turn)), {_sari('bin, low, high', counts='cb')}, sz AS (SELECT bin, count(*) AS n FROM key GROUP BY bin)
 SELECT bin, low, high, round((add + keep + del) / 3, 6) AS sari, {_R('add', 'keep', 'del')}, n FROM sari JOIN sz USING (bin)""",
-    "alignment_shape_stats": f"""WITH {_samples()}, p AS (SELECT o, unnest([0, 1]) AS ref_id, unnest([r0, r1]) AS r FROM smp),
+    "alignment_shape_stats": f"""WITH {_samples(lower=False)}, p AS (SELECT o, unnest([0, 1]) AS ref_id, unnest([r0, r1]) AS r FROM smp),
 n AS (SELECT ref_id, len(o) AS ow, len(r) AS rw, greatest({duck.boundary_sentences('o')}, 1) > 1 AS a, greatest({duck.boundary_sentences('r')}, 1) > 1 AS b FROM p)
 SELECT CAST(sum(CASE WHEN ref_id = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_samples, count(DISTINCT ref_id) AS n_refs, round(avg(ow), 6) AS words_source, round(avg(rw), 6) AS words_reference,
 round(100 * avg(CASE WHEN NOT a AND NOT b THEN 1.0 ELSE 0.0 END), 1) AS one_to_one, round(100 * avg(CASE WHEN NOT a AND b THEN 1.0 ELSE 0.0 END), 1) AS one_to_n, round(100 * avg(CASE WHEN a AND b THEN 1.0 ELSE 0.0 END), 1) AS n_to_n, round(100 * avg(CASE WHEN a AND NOT b THEN 1.0 ELSE 0.0 END), 1) AS n_to_one FROM n""",
