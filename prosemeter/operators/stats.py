@@ -17,13 +17,17 @@ def metric_statistics(scores: DataFrame, metrics: dict[str, bool], by: list[str]
 def study_statistics(scores: DataFrame, value: str, by: list[str], low: float = 0, high: float = 10_000) -> DataFrame:
     """(by, mean, median, std, min, max, n) of scores inside (low, high); the upper median and the
     population deviation."""
-    valid = scores.where((F.col(value) > low) & (F.col(value) < high)).select(*by, F.col(value).alias("v"))
-    w = Window.partitionBy(*by)
-    ranked = valid.withColumns({"i": F.row_number().over(w.orderBy("v")) - 1, "n": F.count("*").over(w)})
-    return ranked.groupBy(*by).agg(
-        F.avg("v").alias("mean"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("v"))).alias("median"),
-        F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n"),
-    )
+    valid = scores.where((F.col(value) > low) & (F.col(value) < high)).select(*by, F.col(value).cast("double").alias("v"))
+    # the approximate quantiles bracket the middle (their error is a tenth of the margin), so that only
+    # the bracket's distinct values are put in order, not a group's rows
+    ends = F.percentile_approx("v", [0.499, 0.501], F.lit(10_000))
+    sums = valid.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n"), ends.alias("__ends"))
+    joined = valid.join(sums.select(*by, "n", "__ends"), by)
+    spot = F.when(F.col("v") < F.col("__ends")[0], F.lit(None)).otherwise(F.col("v"))
+    counts = joined.where(F.col("v") <= F.col("__ends")[1]).groupBy(*by, "n", spot.alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("v")))
+    middle = counts.withColumn("__upto", upto).where((F.col("__upto") > F.floor(F.col("n") / 2)) & (F.col("__upto") - F.col("c") <= F.floor(F.col("n") / 2)))
+    return sums.join(middle.select(*by, F.col("v").alias("median")), by).select(*by, "mean", "median", "std", "min", "max", "n")
 
 
 def binary_figures(labels: DataFrame, truth: str, guess: str, by: list[str] = []) -> DataFrame:  # noqa: B006

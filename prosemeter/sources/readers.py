@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemeter.functions import text as T
@@ -108,8 +108,7 @@ def facts_folder(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame
     """(doc_id, title, ..) with the fact file of its title, else of its id, else the one at its place in
     the sorted listing."""
     files = titled_texts(spark, folder).withColumnRenamed("title", "stem")
-    listed = files.select("stem").distinct().orderBy("stem").limit(100_000).collect()  # file names of a folder, bounded
-    at = spark.createDataFrame([(i, r[0]) for i, r in enumerate(listed)], "at long, place string")
+    at = files.select("stem").distinct().select(F.col("stem").alias("place"), (F.row_number().over(Window.orderBy("stem")) - 1).alias("at"))  # file names alone
     named = docs.withColumns({"__t": T.file_title(F.col("title")), "__i": F.col("doc_id").cast("string")})
     pick = lambda key, out: files.select(F.col("stem").alias(key), F.col("text").alias(out))
     j = named.join(pick("__t", "__a"), "__t", "left").join(pick("__i", "__b"), "__i", "left").join(at, F.col("doc_id") == F.col("at"), "left").join(pick("place", "__c"), "place", "left")
