@@ -261,8 +261,11 @@ def _sorted(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     texts = byte_values(rows.column("bytes"))
     buffer = np.frombuffer(b"".join(texts) + bytes(8), dtype=np.uint8)
     base = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)
+    by = np.lexsort((at, mark, doc))
+    new = np.ones(len(doc), dtype=np.int64)
+    new[1:] = np.any([c[by][1:] != c[by][:-1] for c in (doc, mark, at)], axis=0)
     rank = np.empty(len(doc), dtype=np.int64)
-    rank[np.lexsort((at, mark, doc))] = np.arange(len(doc))
+    rank[by] = np.cumsum(new)  # rows equal in id and text cut out the same unit, which is one place
     unit = np.repeat(np.arange(len(n)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     order, same = sort_windows(buffer, h[unit], base[unit] + inside, WINDOW)
@@ -324,8 +327,9 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucke
     kinds = "doc long, mark int, at long, n long, h long"
     judged = cut(met.mapInArrow(_classes, kinds), "units")
 
-    # texts, compressed, in buckets that both joins below read without an exchange
-    nb = buckets or int(max(4, min(20_000, -(-total // (96 << 20)) * 3)))
+    # texts, compressed, in buckets that both joins below read without an exchange (with fewer buckets than
+    # shuffle partitions Spark would deal them out anew)
+    nb = buckets or int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, -(-total // (64 << 20)))))
     table = f"prosemeter_texts_{uuid.uuid4().hex}"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +343,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucke
 
     wanted = judged.where("h is not null").groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "n", "h")).alias("units"))
     pieces = texts.select("doc", "mark", "packed").join(wanted.hint("shuffle_hash"), ["doc", "mark"]).mapInArrow(_cut_out, "doc long, mark int, at long, n long, h long, bytes binary")
-    parts = pieces.dropDuplicates(["h", "doc", "mark", "at"]).repartition("h").sortWithinPartitions("h").mapInArrow(_compare, kinds)
+    parts = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, kinds)
     repeats = judged.where("h is null").unionByName(parts).groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "n")).alias("found"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, stop: bigint>>, kept binary"
     return texts.join(repeats, ["doc", "mark"], "left").select("doc_id", "packed", "found").mapInArrow(_finish, out)
