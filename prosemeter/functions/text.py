@@ -28,8 +28,9 @@ MORE = (
     "([^a]aa|[^e]ee|[^i]ii|[^o]oo|[^u]uu|[^y]yy)l$", "[^l]llien", "^coad.", "^coag.", "^coal.", "^coax.",
     "([^g]gua|[^q]qua)([^aeiou][aeiou]|a[eiou]|e[aiou]|i[aeou]|o[aeiu]|u[aeio])", "dnt$",
 )
-#: The four replacements of the 13a tokenizer.
-SPLITS_13A = ((r"([{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
+#: The four replacements of the 13a tokenizer (of the first, without the space, which would only
+#: become more spaces).
+SPLITS_13A = ((r"([{-~\[-`!-&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
 ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
 
@@ -69,15 +70,40 @@ def words(c: Column, lowercase: bool = True, tokenizer: str = "13a") -> Column:
     return split_words(normalize(c, lowercase, tokenizer))
 
 
-def syllables(word: Column) -> Column:
-    """Syllables of one word; not floored at 1."""
-    w = F.lower(F.trim(word))
-    stem = F.rtrim(w, F.lit("e"))
-    more = sum((F.when(stem.rlike(p), 1).otherwise(0) for p in MORE[1:]), F.when(stem.rlike(MORE[0]), 1).otherwise(0))
-    rules = sum((F.when(stem.rlike(p), -1).otherwise(0) for p in LESS), more)
+def _matches(stem: Column, pattern: str) -> Column:
+    """rlike, spelled with plain string tests where the pattern is a literal, an end or a start."""
+    body = pattern.strip("^$")
+    if body.isalpha():
+        return stem.startswith(body) if pattern[0] == "^" else stem.endswith(body) if pattern[-1] == "$" else stem.contains(body)
+    if pattern[0] == "^" and body[:-1].isalpha() and body[-1] == ".":
+        return stem.startswith(body[:-1]) & (F.length(stem) >= len(body))
+    if pattern[-1] == "$" and body[1:].isalpha() and body[0] == ".":
+        return stem.endswith(body[1:]) & (F.length(stem) >= len(body))
+    # what every match holds decides first: the pattern is rarely run
+    sure = {"[aeiouy]bl$": stem.endswith("bl"), "[^l]llien": stem.contains("llien"), MORE[11]: stem.endswith("l"), MORE[17]: stem.contains("ua")}
+    return sure[pattern] & stem.rlike(pattern) if pattern in sure else stem.rlike(pattern)
+
+
+def rule_syllables(word: Column, stem: Column) -> Column:
+    """Syllables given the lower-case word and its stem (without final e), each a column of its own:
+    plain string tests that whole-stage code generation takes in."""
     known = F.create_map(*[F.lit(x) for item in SYLLABLES.items() for x in item])
-    any_rule = stem.rlike("|".join((*MORE, *LESS)))
-    return F.when(w.isin(list(SYLLABLES)), F.try_element_at(known, w)).otherwise(F.regexp_count(stem, F.lit("[aeiouy]+")) + F.when(any_rule, rules).otherwise(0))
+    out = F.regexp_count(stem, F.lit("[aeiouy]+"))
+    for p in MORE:
+        out = out + F.when(_matches(stem, p), 1).otherwise(0)
+    for p in LESS:
+        out = out - F.when(_matches(stem, p), 1).otherwise(0)
+    return F.when(word.isin(list(SYLLABLES)), F.try_element_at(known, word)).otherwise(out)
+
+
+def stem_of(word: Column) -> Column:
+    return F.rtrim(F.lower(F.trim(word)), F.lit("e"))
+
+
+def syllables(word: Column) -> Column:
+    """Syllables of one word; not floored at 1. For use inside lambdas: one-element arrays bind the
+    word and its stem, which would be computed again at each mention."""
+    return F.transform(F.array(F.lower(F.trim(word))), lambda w: F.transform(F.array(F.rtrim(w, F.lit("e"))), lambda s: rule_syllables(w, s))[0])[0]
 
 
 def syllables_of(word_list: Column) -> Column:

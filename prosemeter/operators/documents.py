@@ -21,10 +21,30 @@ def readability(docs: DataFrame, text: str = "text") -> DataFrame:
     return scored.withColumn("fkgl_label", B.fkgl_label(F.col("fkgl")))
 
 
+def _word_sums(docs: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(by, n_sentences, n_words, n_syllables, n): sums over rows, by words as rows.
+
+    Words are scored in generated code and summed before the exchange, which carries one row a group
+    and task; several times faster than lambdas over arrays.
+    """
+    c = F.coalesce(F.col(text), F.lit(""))
+    w = docs.select(*by, F.size(T.stop_sentences(c)).alias("s"), T.words(T.pieces_text(c)).alias("w"))
+    long = w.select(*by, "s", F.posexplode_outer("w").alias("i", "word")).withColumn("stem", T.stem_of(F.col("word")))
+    first = F.coalesce(F.col("i"), F.lit(0)) == 0
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return long.groupBy(*by).agg(zero(F.when(first, F.col("s"))).alias("n_sentences"), F.count("word").alias("n_words"), zero(T.rule_syllables(F.col("word"), F.col("stem"))).alias("n_syllables"), F.count(F.when(first, 1)).alias("n"))
+
+
+def readability_by_key(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The columns of `readability` by keys that identify a document (rows that share them are one)."""
+    r = _word_sums(docs, keys, text).drop("n")
+    scored = r.withColumn("fkgl", F.when(F.col("n_sentences") == 0, -1.0).otherwise(fkgl(F.col("n_words"), F.col("n_sentences"), F.col("n_syllables"))))
+    return scored.withColumn("fkgl_label", B.fkgl_label(F.col("fkgl")))
+
+
 def readability_of(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """Corpus FKGL by group: a ratio of sums."""
-    r = readability(docs.select(*by, text), text)
-    sums = r.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n_sentences", "n_words", "n_syllables")))
+    sums = _word_sums(docs, by, text).drop("n")
     return sums.withColumn("fkgl", fkgl(F.col("n_words"), F.col("n_sentences"), F.col("n_syllables")))
 
 

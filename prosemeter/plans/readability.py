@@ -18,7 +18,7 @@ VALENCE = (("the", 0.1), ("and", -0.2), ("que", 0.5), ("von", -0.4), ("of", 0.3)
 
 
 def fkgl_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.readability(texts(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    return rounded(D.readability_by_key(texts(spark, sf_dir), ["doc_id"]))
 
 
 def fkgl_corpus_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ def sentence_split_lookbehind(spark: SparkSession, sf_dir: str) -> DataFrame:
 def syllables_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syllables scored once a distinct word; counts go along, so nothing is joined back."""
     w = texts(spark, sf_dir).select("lang", F.explode(T.words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
-    return w.groupBy("lang").agg(F.sum("count").alias("n_words"), F.count("*").alias("n_distinct"), F.sum(T.syllables(F.col("word")) * F.col("count")).alias("n_syllables"))
+    w = w.withColumn("stem", T.stem_of(F.col("word")))
+    return w.groupBy("lang").agg(F.sum("count").alias("n_words"), F.count("*").alias("n_distinct"), F.sum(T.rule_syllables(F.col("word"), F.col("stem")) * F.col("count")).alias("n_syllables"))
 
 
 def decorativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
