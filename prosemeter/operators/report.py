@@ -26,7 +26,7 @@ def ranked_samples(rows: DataFrame, keys: list[str], k: int = 50) -> dict[str, D
     q = M.quality_features(rows).join(scores, keys)
     paraphrase = F.when(F.col("compression") > 0, F.col("edit_similarity") / F.col("compression")).otherwise(0.0)
     orders = {
-        "as they come": F.lit(0), "best SARI": F.desc("sari"), "worst SARI": F.asc("sari"),
+        "as they come": F.col(keys[0]).asc(), "best SARI": F.desc("sari"), "worst SARI": F.asc("sari"),
         "strongest compression": F.asc("compression"), "most paraphrase": paraphrase.asc(), "most splits": F.desc("splits"),
     }
     return {name: top_k(q, order, keys, k) for name, order in orders.items()}
