@@ -79,7 +79,7 @@ def reference_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_estimation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = turns(spark, sf_dir, 2).select("conv_id", "turn", F.substring("t0", 1, 400).alias("orig"), F.substring("t1", 1, 400).alias("sys"))
+    pairs = turns(spark, sf_dir, 2).select("conv_id", "turn", F.col("t0").alias("orig"), F.col("t1").alias("sys"))
     q = M.quality_features(pairs)
     return rounded(q.agg(*(F.avg(c).alias(c) for c in ("compression", "splits", "edit_similarity", "exact", "additions", "deletions"))))
 

@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from prosemeter.operators import report as R
 from prosemeter.operators import simplification as M
 from prosemeter.operators import stats as S
+from prosemeter.plans import simplification as P
 from prosemeter.sources.readers import parallel
 
 ORIG = ["About 95 species are currently accepted.", "The cat perched on the mat."]
@@ -108,3 +110,28 @@ def test_fkgl_goldens(spark):
     rows = parallel(spark, f"{t}/test.8turkers.tok.norm", [f"{t}/test.8turkers.tok.turk.0"], {"ref": f"{t}/test.8turkers.tok.turk.0"})
     assert M.corpus_fkgl(rows, "orig", []).first()[0] == pytest.approx(9.9, abs=0.1)
     assert M.corpus_fkgl(rows, "sys", []).first()[0] == pytest.approx(8.2, abs=0.1)
+
+
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_quality_estimation_takes_whole_turns(spark, tmp_path):
+    """Turns that agree in their first 400 characters only, against brute force."""
+    start = "the cat sat on the mat " * 20
+    pairs = [(start + "and then the dog ran", start + "but the cat slept on " * 9), (start + "a b a", start + "a b a"), ("a a b c", "a c c d")]
+    path = f"file://{tmp_path}"
+    spark.createDataFrame([(c, t, "user", x.strip()) for c, p in enumerate(pairs) for t, x in enumerate(p)], "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    want = Counter()
+    for o, s in [(o.strip(), s.strip()) for o, s in pairs]:
+        ow, sw = Counter(o.split()), Counter(s.split())
+        n = max(ow.total(), sw.total())
+        want += Counter(compression=len(s) / len(o), edit_similarity=1 - _edit_distance(o, s) / max(len(o), len(s)), exact=float(o == s), additions=(sw - ow).total() / n, deletions=(ow - sw).total() / n)
+    got = P.quality_estimation(spark, path).first()
+    assert {c: got[c] for c in want} == {c: pytest.approx(x / len(pairs), abs=1e-6) for c, x in want.items()}
