@@ -172,6 +172,8 @@ def _emit(cols: list[np.ndarray]) -> pa.RecordBatch:
     again = np.zeros(len(h), dtype=bool)
     again[1:] = (h[1:] == h[:-1]) & (e[1:] == e[:-1])
     kept = ~again
+    first = np.flatnonzero(kept)[np.cumsum(kept) - 1]
+    again &= (doc != doc[first]) | (pos != pos[first])  # rows equal in id and text give the first's own place: no repeat
     d, p, w = doc[again], pos[again], n[again]
     by = np.lexsort((p, d))
     d, p, w = d[by], p[by], w[by]

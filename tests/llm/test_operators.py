@@ -305,6 +305,14 @@ def test_suffix_dedup_odd(spark, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_equal_rows_in_one_task(spark):
+    one = "repeated row with more than a hundred bytes of text in it, so that it has some windows of its own to compare with"
+    rows = [(1, one), (1, one), (2, one), (None, one[::-1]), (None, one[::-1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffix_dedup.dedup(frame).collect())
+    assert got == [(0, 0), (0, 0), (1, 0), (1, 0), (2, len(one))]
+
+
 def test_deep_shallow_sort():
     rng = random.Random(1)
     text = "".join(rng.choice("ab") for _ in range(40)) * 6 + "".join(rng.choice("ab") for _ in range(300))
