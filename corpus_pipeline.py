@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosemeter.llm import decontam, langid, mixing, sharding, simhash
+from prosemeter.llm import decontam, langid, mixing, neardup, sharding
 from prosemeter.llm.common import cut, table
 
 #: Below this corrected hit rate per n-gram a text is in none of the learned languages.
@@ -28,17 +28,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; of rows that repeat it, the one with
-    the smallest hash of its text.
-
-    Rows without a doc_id are kept: no group can name them.
+    """Keeps one row of each group of texts with five-word similarity 0.8 or more: the one with the smallest
+    doc_id (null last), of rows that repeat it the one with the smallest hash of its text.
     """
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    named = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.col(c) for c in ("lang", "source") if c in docs.columns))
-    one = named.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return one.unionByName(docs.where("doc_id is null"))
+    marked = docs.withColumn("__node", F.xxhash64("text"))
+    near = cut(neardup.near_duplicates(docs), "near").withColumnRenamed("node", "__node")
+    rows = marked.select("doc_id", "__node").join(near, "__node", "left").withColumn("component", F.coalesce("component", "__node"))
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__node")).alias("m"))
+    first = least.select(F.col("m.doc_id").alias("__first"), F.col("m.__node").alias("__text"))
+    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("__node") == F.col("__text")), "left_semi")
+    order = Window.partitionBy("doc_id", "__node").orderBy(*(F.col(c) for c in ("lang", "source", "text") if c in docs.columns))
+    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

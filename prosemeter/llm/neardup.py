@@ -1,0 +1,116 @@
+"""Near-duplicate texts by five-word shingles: MinHash bands propose, exact Jaccard decides.
+
+Texts are compared as sets of hashed (64 bits) five-word shingles; one of fewer words is one
+shingle. BANDS bands of ROWS minimums bring a pair of similarity 0.8 together with probability
+1 - (1 - 0.8 ** 5) ** 20 = 0.9996, and a closer pair oftener. Texts that share a band are linked to
+the smallest there; what those links connect is one coarse group, in which all sets are compared
+exactly (by size, a text against those not yet reached), so a group's links are those of similarity
+at least SIMILARITY alone.
+
+Equal texts collapse first and are named by XXH64 of the text. Each text of a coarse group moves
+once; the group is held by one task. Texts without words are equal to each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prosemeter.llm.common import byte_values, cut, groups
+from prosemeter.llm.components import connected_components
+from prosemeter.llm.simhash import _hash
+
+WORDS_PER_SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 20
+ROWS = 5
+#: Shingles whose minimums are taken at a time.
+PIECE = 2048
+FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIX = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, k: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """Distinct shingle hashes, sorted."""
+    words = text.lower().split()
+    if len(words) < k:
+        return np.array([_hash(b" ".join(words))], dtype=np.uint64)
+    return np.unique(np.fromiter(map(_hash, map(b" ".join, zip(*(words[i:] for i in range(k))))), dtype=np.uint64, count=len(words) - k + 1))
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band; keys of different bands differ."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(h), PIECE):
+        low = np.minimum(low, (h[None, a : a + PIECE] * FACTORS[:, None]).min(axis=1))
+    x = (low ^ (low >> np.uint64(31))) * MIX
+    x = (x ^ (x >> np.uint64(29))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+    return x.view(np.int64)
+
+
+def components(sets: list[np.ndarray], names: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The smallest name that links of at least `similarity` reach from each set."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in order])
+    ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    own = [ids[a:b] for a, b in zip(at, at[1:])]
+    mark = np.zeros(int(ids.max()) + 1, dtype=bool)
+    left = np.arange(len(sizes))  # places in order of size not reached yet
+    label = np.empty(len(sizes), dtype=np.int64)
+    flat, starts = ids, at
+    while len(left):
+        members, queue = [left[0]], [left[0]]
+        gone = np.zeros(len(left), dtype=bool)
+        gone[0] = True
+        n_left = sizes[left]
+        while queue:
+            x = queue.pop()
+            lo, hi = np.searchsorted(n_left, [similarity * sizes[x] - 1e-9, sizes[x] / similarity + 1e-9], side="left")
+            if lo >= hi or gone[lo:hi].all():
+                continue
+            mark[own[x]] = True
+            both = np.add.reduceat(mark[flat[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+            mark[own[x]] = False
+            hit = ~gone[lo:hi] & (both >= similarity * (sizes[x] + n_left[lo:hi] - both) - 1e-9)
+            found = np.flatnonzero(hit) + lo
+            gone[found] = True
+            members += left[found].tolist()
+            queue += left[found].tolist()
+        place = order[np.array(members)]
+        label[place] = names[place].min()
+        flat = flat[np.repeat(~gone, n_left)]
+        left = left[~gone]
+        starts = np.concatenate([[0], np.cumsum(sizes[left])])
+    return label
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, component) longs for each distinct text that has a near-duplicate: node is xxhash64 of
+    the text, component the smallest node its links reach."""
+    texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [bands(shingles(t)) for t in byte_values(batch.column("text"))]
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, flat)], names=["node", "bands"])
+
+    signed = cut(texts.mapInArrow(sign, "node long, bands array<long>").dropDuplicates(["node"]), "bands")
+    keyed = signed.select("node", F.posexplode("bands").alias("band", "key"))
+    hubs = keyed.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    coarse = cut(connected_components(keyed.join(hubs, ["band", "key"]).where("node <> a").select("a", F.col("node").alias("b"))).withColumnRenamed("component", "coarse"), "coarse")
+    met = texts.join(coarse, "node").dropDuplicates(["node"]).select("coarse", "node", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["coarse"]):
+            names = g.column("node").to_numpy()
+            label = components([shingles(t) for t in byte_values(g.column("text"))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(label)], names=["node", "component"])
+
+    return met.repartition("coarse").sortWithinPartitions("coarse").mapInArrow(verify, "node long, component long")

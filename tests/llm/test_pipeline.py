@@ -44,6 +44,27 @@ def test_stages(spark, planted):
     assert seen["shards"] == seen["mixture"]
 
 
+def _jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_edited_copies(spark):
+    """Copies with words changed, against brute force over all pairs."""
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(150)] for _ in range(40)]
+    rows = []
+    for i, words in enumerate(base):
+        other = list(words)
+        for j in rng.sample(range(150), i % 6):
+            other[j] = "changed"
+        rows += [(i, " ".join(words)), (100 + i, " ".join(other))]
+    near = {b for (a, x) in rows for (b, y) in rows if a < b and _jaccard(x, y) >= 0.8}
+    assert 10 < len(near) < 40  # some are edited too much
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {d for d, _ in rows} - near
+
+
 def test_run(spark, planted):
     rows = sorted(tuple(r) for r in corpus_pipeline.run(spark, planted).select("doc_id", "shard", "slot").collect())
     assert rows == sorted(tuple(r) for r in registry.QUERIES["pipeline"](spark, planted).select("doc_id", "shard", "slot").collect())
