@@ -126,18 +126,27 @@ def longest(equal: np.ndarray, similarity: float) -> tuple[int, int, int] | None
     return best
 
 
+def _items(benchmark: DataFrame, block_tokens: int) -> tuple[DataFrame, int]:
+    """The items that can be searched, and the number of blocks they make."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    words = items.select(F.size(F.split("text", r"\s+")).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    return items, 1 if words <= block_tokens else -(-words // block_tokens) * 2
+
+
+def _block(items: DataFrame, blocks: int, b: int) -> Index:
+    return Index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least: int = MIN_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, text) and (item_id, text) -> (doc_id, item_id, first_token, n_tokens, n_equal,
     similarity), a row for each document and item that overlap."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    words = items.select(F.size(F.split("text", r"\s+")).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    blocks = 1 if words <= block_tokens else -(-words // block_tokens) * 2
     kind = docs.schema["doc_id"].dataType.simpleString()
     src = docs.select("doc_id", "text")
     parts = []
+    items, blocks = _items(benchmark, block_tokens)
     for b in range(blocks):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
-        part = src.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(Index(block)), similarity, least), f"doc_id {kind}, item_id long, first_token long, n_tokens long, n_equal long")
+        index = _block(items, blocks, b)
+        part = src.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(index), similarity, least), f"doc_id {kind}, item_id long, first_token long, n_tokens long, n_equal long")
         parts.append(cut(part, "overlaps") if blocks > 1 else part)
     out = parts[0]
     for p in parts[1:]:
@@ -160,7 +169,19 @@ def _search(shared, similarity: float, least: int):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without an overlap, all columns kept; equal rows are judged alike."""
-    found = cut(contamination(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least: int = MIN_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The documents without an overlap, all columns kept; each row is judged by its own text."""
+    items, blocks = _items(benchmark, block_tokens)
+    for b in range(blocks):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(_block(items, blocks, b)), similarity, least), docs.schema)
+        docs = cut(docs, "clean") if b < blocks - 1 else docs
+    return docs
+
+
+def _clean(shared, similarity: float, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([not index.overlaps(t, similarity, least) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run

@@ -305,6 +305,17 @@ def test_suffix_dedup_odd(spark, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("block_tokens", [decontam.BLOCK_TOKENS, 20])
+def test_drop_contaminated_judges_rows(spark, block_tokens):
+    """Clean rows stay that share a null or other doc_id with a contaminated one."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(3)]
+    clean = "a clean text that holds none of the items and is long enough to be searched by all of the masks"
+    rows = [(None, f"so {items[0][1]} it goes"), (None, clean), (7, clean), (7, items[2][1]), (8, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.drop_contaminated(docs, bench, block_tokens=block_tokens).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[1], rows[2], rows[4]]))
+
+
 def test_suffix_dedup_equal_rows_in_one_task(spark):
     one = "repeated row with more than a hundred bytes of text in it, so that it has some windows of its own to compare with"
     rows = [(1, one), (1, one), (2, one), (None, one[::-1]), (None, one[::-1])]
