@@ -7,25 +7,32 @@ SHA-256 digests. Payloads equal by digest and of at least MIN_REVISIT bytes are
 once: the smallest key's record is the response, the others revisit it.
 
 Archives are written by Spark's own committer to the shared folder, a record and the
-blank lines that close it to a line separator, gzip a file, and read back by declared
-lengths. Null payloads are empty, null URLs become `unknown:`. Rows without a key never
-become the response of a group that has one; rows that repeat the smallest key are all
-responses. A truncated or unreadable header raises, unless `errors="skip"`, which goes
-on at the next line that is one.
+blank lines that close it to a line separator, gzip a file of at most RECORDS_PER_FILE
+records, and read back by declared lengths from a stream: a task holds a file as it is
+stored and one record of it. Null payloads are empty, null URLs become `unknown:`; any URL
+is a page's, `filedesc://` too. Rows without a key never become the response of a group
+that has one; rows that repeat the smallest key are all responses. A truncated or
+unreadable header raises, unless `errors="skip"`, which goes on at the next line that is
+one. Only the key, url and body columns are read, so other columns may have any name. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_REVISIT = 100
+#: Of pages of 64 KB a file holds 128 MB before compression.
+RECORDS_PER_FILE = 2000
 #: Fixed values of the ARC format: fields of a record's header line, by version.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -62,7 +69,17 @@ def to_arc(rows: DataFrame, key: str, url: str, body: str, version: Column, date
 
 def parse_arc(data: bytes, errors: str = "raise") -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by name, body) of each record, the version block first."""
-    at, names = 0, FIELDS[1].split()
+    for fields, body, _ in arc_records(data, errors):
+        yield fields, body
+
+
+def arc_records(data: bytes, errors: str = "raise") -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(header fields by name, body, whether it is a version block) of each record.
+
+    A version block is the first record of an archive; where archives follow each other in
+    one file, a later `filedesc:` record whose body has a version line and a field list.
+    """
+    at, names, first = 0, FIELDS[1].split(), True
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -70,24 +87,31 @@ def parse_arc(data: bytes, errors: str = "raise") -> Iterator[tuple[dict[str, st
         end = data.find(b"\n", at)
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
         parts = line.split(" ")
-        if line.startswith("filedesc://"):
-            names = FIELDS[2 if len(parts) == len(FIELDS[2].split()) else 1].split()
         length = parts[-1]
-        if end < 0 or len(parts) != len(names) or not length.isdigit() or end + 1 + int(length) > len(data):
+        whole = end >= 0 and length.isdigit() and end + 1 + int(length) <= len(data)
+        body = data[end + 1 : end + 1 + int(length)] if whole else b""
+        said = field_list(body) if line.startswith("filedesc://") and whole else None
+        block = line.startswith("filedesc://") and (first or said is not None)
+        own = FIELDS[2 if len(parts) == len(FIELDS[2].split()) else 1].split() if block else names
+        if not whole or len(parts) != len(own):
             if errors != "skip":
                 raise ValueError(f"no ARC header at byte {at}: {line[:120]!r}")
             at = end + 1 if end >= 0 else len(data)
             continue
-        body = data[end + 1 : end + 1 + int(length)]
-        fields = dict(zip(names, parts))
-        if line.startswith("filedesc://"):  # its second line names the fields of what follows
-            said = body.decode("utf-8", "replace").split("\n")
-            if len(said) > 1 and said[1].split()[:1] == ["URL"]:
-                names = said[1].split()
-        yield fields, body
+        yield dict(zip(own, parts)), body, block
+        if block:  # its second line names the fields of what follows
+            names = said or own
+        first = False
         at = end + 1 + int(length)
 
 
+def field_list(body: bytes) -> list[str] | None:
+    """The field names in a version block's second line."""
+    said = body.decode("utf-8", "replace").split("\n")
+    version = said[0].split(" ")[0]
+    return said[1].split() if version.isdigit() and len(said) > 1 and said[1].split()[:1] == ["URL"] else None
+
+
 def iso_date(date: str) -> str:
     d = (date + "00000101000000"[len(date) :])[:14] if date.isdigit() else "19700101000000"
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
@@ -120,9 +144,9 @@ def convert(archives: DataFrame, errors: str = "raise") -> DataFrame:
         for batch in batches:
             rows, size = [], 0
             for data in batch.column("archive").to_pylist():
-                for f, body in parse_arc(data or b"", errors):
+                for f, body, version_block in arc_records(data or b"", errors):
                     date = iso_date(f["Archive-date"])
-                    if f["URL"].startswith("filedesc://"):
+                    if version_block:
                         kind, head, payload = "warcinfo", b"", body
                     else:
                         head, payload = http_parts(body)
@@ -177,21 +201,30 @@ def warc_bytes(r: str = "refers") -> Column:
     return F.concat(F.encode(header, "UTF-8"), block)
 
 
-def write_warc(marked: DataFrame, path: str, records_per_file: int = 20_000) -> None:
+def write_warc(marked: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
     marked.select(warc_bytes().cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n") if end >= 0 else [""]
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields by name in lower case, block) of each record of a stream."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {line[:80]!r}")
+        fields = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            fields[k.strip().lower()] = v.strip()
         n = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + len(END)
+        block = stream.read(n)
+        if len(block) < n:
+            raise ValueError("truncated WARC record")
+        stream.read(len(END))
+        yield fields, block
+
+
+def opened(data: bytes) -> BinaryIO:
+    """A stream of a file's bytes, unpacked as it is read."""
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -208,8 +241,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
-                data = content.as_py()
-                for f, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for f, block in parse_warc(opened(content.as_py())):
                     head, payload = http_parts(block)
                     old = f["warc-type"] == "revisit"
                     digest = f.get("warc-payload-digest", "").removeprefix("sha256:")
