@@ -6,6 +6,10 @@ leave standing. count[i] = count[j] + 1 follows, so one left-to-right pass gives
 exact count of every prefix, and truncation and budget questions need no encoding of
 their own. Counts of a text are running sums over its pre-tokens.
 
+Letters, numbers and white space are those of the library's Unicode version, asked of its
+regular expressions once a worker; its normalizer composes and lowers texts beyond ASCII. A vocabulary file whose normalizer, pre-tokenizer or
+model is another than the one implemented is refused.
+
 Null texts count as empty (0 tokens). Special strings inside a text are one token
 each, as the library has it by default. Lone surrogates cannot occur: Spark strings
 are UTF-8. Rows repeat as often as in the input; further columns pass through
@@ -16,7 +20,6 @@ empty table.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +29,22 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers
+from tokenizers.pre_tokenizers import Split
 
 from prosemeter.llm.common import n_bytes
 
-#: The pre-tokenizer pattern of the vocabulary file, with \s spelled as a property.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: The normalizer and pre-tokenizer that are implemented here, as a vocabulary file writes them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Model settings that are implemented; any end_of_word_suffix is.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: str.split() parts at these too, the pattern does not.
 NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -42,6 +56,36 @@ KEPT_PAIRS = 1_000_000
 LONG = 64
 
 
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
+
+
+def ranges(inside: np.ndarray, every: str) -> str:
+    """A character class of the marked code points."""
+    step = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    point = lambda i: f"\\U{ord(every[i]):08x}"
+    return "".join(f"{point(a)}-{point(b)}" for a, b in zip(np.flatnonzero(step > 0).tolist(), (np.flatnonzero(step < 0) - 1).tolist()))
+
+
+@lru_cache(maxsize=1)
+def pre_tokens() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
+    """The pre-tokenizer's pattern by properties, the code points whose properties the library's
+    own regular expressions see otherwise (another Unicode version), and the pattern for texts that
+    hold some, with the library's classes written out."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    theirs, odd = {}, np.zeros(len(every), dtype=bool)
+    for name, own, library in (("L", r"\p{L}", r"\p{L}"), ("N", r"\p{N}", r"\p{N}"), ("S", r"\p{White_Space}", r"\s")):
+        inside = np.ones(len(every), dtype=bool)
+        for _, (a, b) in Split(Regex(library), "removed").pre_tokenize_str(every):
+            inside[a:b] = False
+        here = np.zeros(len(every), dtype=bool)
+        for m in regex.finditer(f"{own}+", every):
+            here[m.start() : m.end()] = True
+        odd |= here != inside
+        theirs[name] = ranges(inside, every)
+    plain = PATTERN.format(L=r"\p{L}", N=r"\p{N}", S=r"\p{White_Space}")
+    return regex.compile(plain), regex.compile(f"[{ranges(odd, every)}]" if odd.any() else "(?!)"), regex.compile(PATTERN.format(**theirs))
+
+
 def byte_alphabet() -> list[str]:
     """Byte -> character of byte-level vocabularies: printable Latin-1 stands for
     itself, the rest follow from U+0100 on."""
@@ -67,6 +111,12 @@ class PrefixCounter(dict):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER or any(model.get(k, v) != v for k, v in MODEL.items()):
+            raise ValueError(f"{path}: its normalizer, pre-tokenizer or model is not one that is counted here")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens with flags are not counted here")
+        self.plain, self.odd, self.exact = pre_tokens()
+        self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.end = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.rank = {p: i for i, p in enumerate(pairs)}
@@ -193,20 +243,19 @@ class PrefixCounter(dict):
         return n
 
     def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = text.replace("\ua7cb", "\u0264").replace("\ua7dc", "\u019b")  # lower case since Unicode 16
-            if "Σ" in text:  # the library lowers character by character, without the final-sigma rule
-                return "".join(map(str.lower, SPACE.sub(" ", text)))
-        return text.lower()
+        """Beyond ASCII by the library's own normalizer, whose Unicode version may be another than Python's."""
+        return text.lower() if text.isascii() else self.library.normalize_str(text)
+
+    def find(self, text: str) -> list[str]:
+        return (self.plain if text.isascii() or not self.odd.search(text) else self.exact).findall(text)
 
     def words(self, text: str) -> list[str | None]:
         """Pre-tokens of a text; None stands for a special string."""
         if self.split is None or not any(s in text for s in self.specials):
-            return WORDS.findall(self.normal(text))
+            return self.find(self.normal(text))
         out: list[str | None] = []
         for k, part in enumerate(self.split.split(text)):
-            out += [None] if k % 2 else WORDS.findall(self.normal(part))
+            out += [None] if k % 2 else self.find(self.normal(part))
         return out
 
     def chunks(self, text: str) -> list[str]:
