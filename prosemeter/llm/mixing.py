@@ -8,8 +8,8 @@ cell's tokens, at most 1. All of it is DataFrame functions.
 Documents reduce to cells (with map-side combine) before any exchange; the raking works
 on the cells alone. Null sources, languages and topics are a value of their own,
 `(null)`. Texts without tokens are kept with their cell's probability, 1 where the cell
-has none. The draw is a hash of seed and doc_id, so repeated rows are kept or dropped
-together, and a rerun keeps the same rows. Added columns start with two underscores, so
+has none. The draw is a hash of seed and doc_id (of the text where that is null), so
+repeated rows are kept or dropped together, and a rerun keeps the same rows. Added columns start with two underscores, so
 no ordinary name clashes. An empty table gives an empty table.
 """
 
@@ -42,9 +42,10 @@ def topic(text: Column) -> Column:
     return F.when(text.isNull(), F.lit("prose")).when(lines * 120 > size, "lines").when(size >= 8192, "long").otherwise("prose")
 
 
-def draw(doc_id: Column, seed: int = SEED) -> Column:
-    """Uniform in [0, 1) from seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def draw(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """Uniform in [0, 1) from seed and id, or the text's digest where the id is null."""
+    named = F.coalesce(doc_id.cast("string"), F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), named))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, seed: int = SEED, text_col: str
     """The sampled documents, with __source, __lang, __topic, __tokens, and __weight and __prob of
     their cell added."""
     all_docs = calibrated(described(docs, text_col, tokens_col, topic_col), budget, **options)
-    return all_docs.where(draw(F.col("doc_id"), seed) < F.col("__prob"))
+    return all_docs.where(draw(F.col("doc_id"), F.col(text_col), seed) < F.col("__prob"))
 
 
 def mix_sql(budget: float = BUDGET, seed: int = SEED, rounds: int = ROUNDS, table: str = "documents") -> str:
@@ -105,7 +106,7 @@ def mix_sql(budget: float = BUDGET, seed: int = SEED, rounds: int = ROUNDS, tabl
     ctes = [
         f"""d AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
   CASE WHEN text IS NULL THEN 'prose' WHEN (length(text) - length(replace(text, chr(10), ''))) * 120 > {size} THEN 'lines'
-       WHEN {size} >= 8192 THEN 'long' ELSE 'prose' END AS topic, ({size} + 3) // 4 AS tokens FROM {table})""",
+       WHEN {size} >= 8192 THEN 'long' ELSE 'prose' END AS topic, ({size} + 3) // 4 AS tokens, md5(coalesce(text, '')) AS textkey FROM {table})""",
         "c AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL)",
     ]
     for x in DIMENSIONS:
@@ -119,5 +120,5 @@ def mix_sql(budget: float = BUDGET, seed: int = SEED, rounds: int = ROUNDS, tabl
             ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {x}) > 0 THEN w * {t} / sum(w) OVER (PARTITION BY {x}) ELSE 0 END AS w) FROM w{k})")
             k += 1
     ctes.append(f"f AS (SELECT source, lang, topic, w, CASE WHEN tokens > 0 THEN least(1.0, w * {budget} * sum(tokens) OVER () / tokens) ELSE 1.0 END AS prob FROM w{k})")
-    u = f"CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0"
+    u = f"CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), textkey)), 1, 8)) AS BIGINT) / 4294967296.0"
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, source, lang, topic, tokens, round(w, 9) AS weight, round(prob, 9) AS prob FROM d JOIN f USING (source, lang, topic) WHERE {u} < prob"
