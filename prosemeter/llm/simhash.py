@@ -1,19 +1,22 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints: 64 bits from XXH64 (seed 42) of four-word shingles. Linking compares
-distinct fingerprints in tiles, with numpy exclusive-or and bit counts. Two rules skip
-tile pairs, and neither loses a link: fingerprints within the radius agree wholly on
-some choice of blocks (so only tiles that share such a block meet), and inside a tile
-rows are sorted by population count, so runs whose counts differ beyond the radius are
-never compared.
-
-Equal fingerprints collapse before linking; a tile returns at most one link a row (to
-the smallest fingerprint it can reach there), never its pairs. A fingerprint meets at
-most C(blocks, radius) tiles.
+distinct fingerprints in tiles of at most SIDE rows, with numpy exclusive-or and bit
+counts; rows are sorted by population count, and a pair of tiles whose counts differ
+beyond the radius is never compared. So that not all tiles meet, a filter that loses no
+link comes first: fingerprints within the radius agree wholly on some choice of blocks
+(`block_masks`), and only those that share such a block get into one set of tiles. A hot
+block is split into parts, and its pairs of parts go to different tasks (`deal`), so a
+task holds at most about 2 * PART_ROWS rows of it.
+
+Equal fingerprints collapse before linking; a pair of parts returns at most one link a
+row (to the first it can reach there), never its pairs. Nodes of the link graph order by
+their smallest doc_id, so a component is named by its answer and no join gathers it.
 
 Null and empty texts have fingerprint zero and link like any other. Rows repeat as often
 as in the input. Rows with a null doc_id take part and never name a component; one of
-null doc_ids only has a null component_id. An empty table gives an empty table.
+null doc_ids only has a null component_id. Only the id and text columns are read, so
+other columns may have any name. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from math import ceil, comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemeter.llm.common import byte_values, cut, groups
@@ -37,9 +40,10 @@ WORDS_PER_SHINGLE = 4
 SEED = 42
 #: Rows that the average tile should have at most; decides the number of blocks.
 TILE_ROWS = 4096
-#: Tiles up to this many rows are compared in one matrix.
-MATRIX = 768
-FRONTIER = 64
+#: Rows of a side of a tile that is compared in one matrix.
+SIDE = 512
+#: Rows of a part of a hot block; a task compares two parts.
+PART_ROWS = 4096
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -86,99 +90,90 @@ def block_masks(rows: int, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
     return [sum(c) for c in combinations(blocks, b - radius)]
 
 
-def link_tile(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Index of a representative for each of the distinct uint64 fingerprints: the smallest
-    one reachable by links of at most `radius` bits inside the tile."""
-    n = len(fps)
-    pops = np.bitwise_count(fps).astype(np.int16)
-    if n <= MATRIX:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-        a, b = np.nonzero(np.triu(near, 1))
-        return _smallest(fps, a, b)
+def link_tile(fps: np.ndarray, radius: int = RADIUS, sizes: np.ndarray | None = None, ratio: float = 0.0) -> np.ndarray:
+    """The first row that each row reaches by links of at most `radius` bits, between sizes of at
+    least `ratio` of each other. `fps`: uint64 rows, or rows of several words.
+    """
+    words = fps.reshape(len(fps), -1)
+    pops = np.bitwise_count(words).sum(axis=1, dtype=np.int32)
     order = np.argsort(pops, kind="stable")
-    f, p, ids = fps[order], pops[order], np.arange(n)[order]
-    label = np.full(n, -1, dtype=np.int64)
-    alive = np.ones(n, dtype=bool)
-    start, dead = 0, 0
-    while True:
-        while start < len(f) and not alive[start]:
-            start += 1
-        if start >= len(f):
-            break
-        alive[start] = False
-        dead += 1
-        members, queue = [ids[start]], [(f[start], p[start])]
-        while queue:
-            front, queue = queue[:FRONTIER], queue[FRONTIER:]
-            lo = np.searchsorted(p, min(q for _, q in front) - radius, "left")
-            hi = np.searchsorted(p, max(q for _, q in front) + radius, "right")
-            window = np.flatnonzero(alive[lo:hi]) + lo
-            for a in range(0, len(window), 1 << 16):  # tiles of a bounded size
-                part = window[a : a + (1 << 16)]
-                hit = part[(np.bitwise_count(f[part][:, None] ^ np.array([x for x, _ in front], dtype=np.uint64)[None, :]) <= radius).any(axis=1)]
-                alive[hit] = False
-                dead += len(hit)
-                members += ids[hit].tolist()
-                queue += list(zip(f[hit], p[hit]))
-        m = np.array(members)
-        label[m] = m[np.argmin(fps[m])]
-        if dead > len(f) // 4:
-            f, p, ids, start, dead = f[alive], p[alive], ids[alive], 0, 0
-            alive = np.ones(len(f), dtype=bool)
+    f, p, n = words[order], pops[order], len(fps)
+    label = np.arange(n)
+    for i in range(0, n, SIDE):
+        a = order[i : i + SIDE]
+        for j in range(i, n, SIDE):
+            if p[j] - p[min(i + SIDE, n) - 1] > radius:
+                break  # nor can a later tile be within the radius
+            b = order[j : j + SIDE]
+            if (label[a] == label[a[0]]).all() and (label[b] == label[a[0]]).all():
+                continue
+            differ = sum(np.bitwise_count(f[i : i + SIDE, None, w] ^ f[None, j : j + SIDE, w]) for w in range(f.shape[1]))
+            near = differ <= radius
+            if sizes is not None:
+                x, y = sizes[a][:, None], sizes[b][None, :]
+                near &= np.minimum(x, y) >= ratio * np.maximum(x, y) - 1e-9
+            x, y = np.nonzero(np.triu(near, 1) if i == j else near)
+            label = joined(label, a[x], b[y])
     return label
 
 
-def _smallest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Components of a small graph, each named by the index of its smallest fingerprint."""
-    order = np.argsort(fps, kind="stable")
-    rank = np.empty(len(fps), dtype=np.int64)
-    rank[order] = np.arange(len(fps))
-    label = rank.copy()
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[order[new]])
-        if (new == label).all():
-            break
-        label = new
-    return order[label]
-
-
-def link(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Distinct (fp) -> links (a, b): enough of them to connect all that links connect."""
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after links a - b, each the smallest row of its component."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def deal(keyed: DataFrame, keys: list[str], name: str, rows: int = PART_ROWS, weight: str = "1") -> DataFrame:
+    """Rows whose key others share, with columns i and j: each pair of parts of a key's rows is
+    one group by keys, i and j. Parts hold about `rows` rows (or sums of `weight`); `name` deals.
+    """
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.ceil(F.sum(F.expr(weight)) / rows).cast("int").alias("parts")).where("n > 1")
+    met = keyed.join(cut(sizes.drop("n"), "sizes"), keys)
+    own = F.pmod(F.xxhash64(name), F.col("parts")).cast("int")
+    met = met.withColumn("own", own)
+    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("own", p).alias("i"), F.greatest("own", p).alias("j"))), lambda x: x.i < x.j)
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    dealt = met.withColumn("pair", F.explode(F.when(F.col("parts") < 2, alone).otherwise(pairs)))
+    return dealt.select("*", "pair.i", "pair.j").drop("pair", "own", "parts").repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
+def link(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """Distinct (fp, first_id) -> links (a, b) of structs (unnamed, first_id, fp): enough of them to
+    connect all that links connect."""
     masks = block_masks(distinct.count(), radius, tile_rows)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "tile"))
+    keyed = distinct.select("fp", "first_id", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "tile"))
+    kind = distinct.schema["first_id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a: list[np.ndarray] = []
-        out_b: list[np.ndarray] = []
-        for g in groups(batches, ["mask", "tile"]):
-            if g.num_rows > 1:
-                fps = np.unique(g.column("fp").to_numpy().view(np.uint64))
-                root = link_tile(fps, radius)
-                moved = np.flatnonzero(root != np.arange(len(fps)))
-                if len(moved):
-                    out_a.append(fps[root[moved]].view(np.int64))
-                    out_b.append(fps[moved].view(np.int64))
-            if sum(map(len, out_a)) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
-                out_a, out_b = [], []
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
-
-    tiled = keyed.repartition("mask", "tile").sortWithinPartitions("mask", "tile").select("mask", "tile", "fp")
-    return tiled.mapInArrow(compare, "a long, b long")
+        for g in groups(batches, ["mask", "tile", "i", "j"]):
+            fps = g.column("fp").to_numpy().view(np.uint64)
+            root = link_tile(fps, radius)
+            moved = np.flatnonzero(root != np.arange(len(fps)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([g.column(c).combine_chunks().take(pa.array(at)) for at in (root[moved], moved) for c in ("first_id", "fp")], names=["a_id", "a_fp", "b_id", "b_fp"])
+
+    found = deal(keyed, ["mask", "tile"], "fp", part_rows).select("mask", "tile", "i", "j", "fp", "first_id").mapInArrow(compare, f"a_id {kind}, a_fp long, b_id {kind}, b_fp long")
+    return found.select(*(node(f"{x}_id", f"{x}_fp").alias(x) for x in "ab"))
+
+
+def node(first_id: str, fp: str) -> Column:
+    """Named ones first, by their id."""
+    return F.struct(F.col(first_id).isNull().alias("unnamed"), F.col(first_id).alias("first_id"), F.col(fp).alias("fp"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of `docs`."""
     marked = cut(fingerprints(docs, text_col, id_col), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = connected_components(link(distinct.select("fp"), radius, tile_rows))
-    named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    parts = connected_components(link(distinct, radius, tile_rows)).select(F.col("node.fp").alias("fp"), "component")
+    answer = F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component.first_id"))
+    by_fp = cut(distinct.join(parts, "fp", "left").select("fp", answer.alias("component_id")), "components")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
