@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,84 @@ def test_seeds_hit_all_patterns():
     for n, subs in ((13, 2), (15, 3), (20, 4)):
         places = [{p + o for o in m} for m in decontam.MASKS for p in range(n - m[-1])]
         assert all(any(s.isdisjoint(c) for s in places) for c in map(set, combinations(range(n), subs)))
+    for masks in (decontam.MASKS, decontam.LIGHT):  # every mask ignores some position
+        assert all(len(m) < m[-1] + 1 for m in masks)
+
+
+def _fewest_substitutions(masks, most):
+    """Of each length: the fewest substitutions that spoil every place of every mask."""
+    span = max(m[-1] for m in masks) + 1
+    spoiled = [(m[-1] + 1, sum(1 << (m[-1] - o) for o in m)) for m in masks]
+    states, out = {0: 0}, {}
+    for n in range(1, most + 1):
+        then = {}
+        for s, cost in states.items():
+            for bit in (0, 1):
+                t = (s << 1 | bit) & ((1 << span) - 1)
+                if all(n < size or t & b for size, b in spoiled):
+                    then[t] = min(then.get(t, n), cost + bit)
+        states = then
+        out[n] = min(states.values())
+    return out
+
+
+def test_seeds_hit_a_fifth_substituted():
+    few = _fewest_substitutions(decontam.MASKS, 200)
+    assert all(few[n] > n // 5 for n in range(decontam.MIN_TOKENS, 201))
+    few = _fewest_substitutions(decontam.LIGHT, 12)
+    assert all(few[n] > n // 5 for n in range(4, 13))
+
+
+def _overlap_brute(x, y):
+    need = 13 if len(y) >= 13 else -int(-(0.8 * len(y) - 1e-9) // 1)
+    best = None
+    for start in range(-len(y) + 1, len(x)):
+        a, b = max(0, -start), min(len(y), len(x) - start)
+        eq = [y[i] == x[start + i] for i in range(a, b)]
+        for s in range(len(eq)):
+            for e in range(s + 1, len(eq) + 1):
+                if e - s >= need and eq[s] and eq[e - 1] and sum(eq[s:e]) >= 0.8 * (e - s) - 1e-9:
+                    row = (e - s, -(start + a + s), sum(eq[s:e]))
+                    best = row if best is None else max(best, row)
+    return [(7, -best[1], best[0], best[2])] if best else []
+
+
+def test_overlaps():
+    """Rows, not only pairs: first token, tokens and equal tokens, against all alignments."""
+    rng, found = random.Random(3), 0
+    for _ in range(400):
+        some = "abcdefgh"[: rng.randrange(1, 9)]
+        y = [rng.choice(some) for _ in range(rng.randrange(1, 24))]
+        x = [rng.choice(some + "z") for _ in range(rng.randrange(0, 40))]
+        if rng.random() < 0.7:
+            w = y[rng.randrange(0, len(y)) :]
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(some)
+            at = rng.randrange(0, len(x) + 1)
+            x[at:at] = w
+        got = decontam.Index([(7, " ".join(y))]).overlaps(" ".join(x), 0.8, 13)
+        assert got == _overlap_brute(x, y)
+        found += len(got)
+    assert found > 100
+
+
+def test_overlaps_short_items_and_repeated_tokens():
+    short = decontam.Index([(1, "a b c d"), (2, "q"), (3, "one two three four five"), (4, ""), (5, "u v w")])
+    assert sorted(short.overlaps("zz a b c d q one TWO three x five u v w", 0.8, 13)) == [(1, 1, 4, 4), (2, 5, 1, 1), (3, 6, 5, 4), (5, 11, 3, 3)]
+    assert [r[0] for r in short.overlaps("zz a b c d q one TWO three x five u v w", 0.8, 13, shortest=5)] == [3]
+    began = time.perf_counter()
+    assert decontam.Index([(1, "x " * 2000)]).overlaps("x " * 8000, 0.8, 13) == [(1, 0, 2000, 2000)]
+    assert decontam.Index([(1, "x y " * 1000)]).overlaps("x y " * 4000, 0.8, 13) == [(1, 0, 2000, 2000)]
+    assert time.perf_counter() - began < 5
+
+
+def test_decontamination_very_long_text_and_clashing_names(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    long = " ".join(f"w{k % 5000}" for k in range(600_000)) + " " + item  # over 3 MB
+    docs = spark.createDataFrame([(1, long, 5, "x", 0.5)], "doc_id long, text string, item_id int, n_tokens string, similarity double")
+    bench = spark.createDataFrame([(3, item, 8)], "item_id long, text string, doc_id int")
+    assert [tuple(r) for r in decontam.contamination(docs, bench).collect()] == [(1, 3, 600_000, 20, 20, 1.0)]
+    assert decontam.drop_contaminated(docs, bench).count() == 0
 
 
 def _longest_brute(eq, sim):
@@ -160,6 +239,8 @@ def test_arc_versions():
     assert [b for _, b in warc.parse_arc(b"garbage line\n" + v1.encode(), "skip")][-1] == b"hello"
     with pytest.raises(ValueError):
         list(warc.parse_arc(v1.encode()[:-4]))
+    page = v1 + "filedesc://x 1.2.3.4 19990102030405 text/html 3\nabc\n"  # a page of that kind of URL
+    assert [(f["URL"], b, v) for f, b, v in warc.arc_records(page.encode())][1:] == [("http://a/", b"hello", False), ("filedesc://x", b"abc", False)]
 
 
 def test_arc_files(spark, tmp_path):
@@ -175,8 +256,8 @@ def test_arc_files(spark, tmp_path):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * 150
-    pages = [(5, "http://a/", big), (3, "http://b c/", big), (9, None, big), (4, "u", "small"), (6, "u", "small"), (7, "", None), (8, "u", "WARC/1.1\r\n\r\n\r\n" + big), (3, "again", big), (None, "u", big)]
-    spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit("clash")).write.parquet(f"file://{tmp_path}/pages.parquet")
+    pages = [(5, "http://a/", big), (3, "http://b c/", big), (9, None, big), (4, "u", "small"), (6, "u", "small"), (7, "", None), (8, "u", "WARC/1.1\r\n\r\n\r\n" + big), (3, "again", big), (None, "u", big), (11, "filedesc://x", big), (12, "filedesc://y z", "1 0 p\nURL IP-address\n"), (13, "warcinfo:", "2")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"key": F.lit("clash"), "head": F.lit(1), "payload": F.lit(2)}).write.parquet(f"file://{tmp_path}/pages.parquet")
     got = registry.op3_warc(spark, f"file://{tmp_path}").collect()
     assert len(got) == len(pages)
     sha = lambda s: hashlib.sha256((s or "").encode()).hexdigest()
@@ -247,6 +328,10 @@ def test_topk(spark, block):
         assert topk.exact_top_k(e.where("vec_id = 50")).count() == 0
         huge = spark.createDataFrame([(0, [1e16, 1e16]), (1, [1e16, 3e15]), (2, [-1e16, 0.0])], "vec_id long, embedding array<double>")
         assert [(r["vec_id"], r["score"]) for r in topk.exact_top_k(huge).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
+        exact = [(0, [(2.0**31 + 1) / 256, 0.0]), (1, [(2.0**30 + 1) / 256, 1e307]), (2, [1.0, 0.0]), (50, [1e307, 1.0]), (3, [0.0, 3.0])]
+        got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.exact_top_k(spark.createDataFrame(exact, "vec_id long, embedding array<double>")).collect()}
+        assert got[0, 1] == (2**31 + 1) * (2**30 + 1) and got[0, 2] == (2**31 + 1) * 256 and got[0, 3] == 0
+        assert got[50, 1] == got[50, 2] == (1 << 63) - 1 and got[50, 3] == 3 * 256 * 256
 
 
 # ------------------------------------------------------------------ 6
@@ -360,6 +445,29 @@ def test_token_counts(spark, rows, library):
     assert tokencount.token_counts(frame.limit(0), registry.vocabulary_path()).count() == 0
 
 
+def test_token_counts_unicode(library):
+    """All code points, each between letters, and random strings of old and new scripts."""
+    c = tokencount.counter(registry.vocabulary_path())
+    texts = [f"a{chr(i)}b {chr(i)}1{chr(i)}" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    rng = random.Random(1)
+    pools = [range(0x20, 0x7F), range(0xA0, 0x600), [*range(0x300, 0x370), *range(0x41, 0x5B)], range(0x900, 0x1200), [*range(0x2000, 0x2070), 32, 9, 10, 0x1C, 0x85], range(0xE000, 0x110000), [0x1904E, 0x18DB1, 0x32808, 0x10D, 0x100, 0x61, 0x3F]]
+    texts += ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randrange(1, 24))) for _ in range(100_000)]
+    texts.append("very long " + "word é 漢 x1 " * 300_000)
+    count = lambda t: int((r := c.running(t))[-1]) if c.chunks(t) else 0  # noqa: E731, F841
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, n in zip(texts, want) if count(t) != n] == []
+
+
+def test_token_vocabularies_refused(tmp_path):
+    import json
+
+    spec = json.load(open(registry.vocabulary_path(), encoding="utf-8"))
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            tokencount.PrefixCounter(str(tmp_path / "other.json"))
+
+
 def test_token_prefixes(rows, library):
     c = tokencount.counter(registry.vocabulary_path())
     n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
@@ -419,6 +527,8 @@ def test_mixing(spark, docs, odd, none):
     got = mixing.mix(odd, budget=1e9)
     assert got.count() == len(ODD) and set(odd.columns) <= set(got.columns)  # every probability is 1
     assert mixing.mix(none).count() == 0
+    unnamed = spark.createDataFrame([(None, f"text {k}", "s", "en") for k in range(2000)], "doc_id long, text string, source string, lang string")
+    assert 1000 < mixing.mix(unnamed, budget=0.6).count() < 1400  # each by its own text
 
 
 # ------------------------------------------------------------------ 10
@@ -459,8 +569,8 @@ def test_simhash(spark, docs, rows):
     assert got == sorted(_components_brute([(d, _fingerprint_brute(t)) for d, t in rows], 4))
 
 
-@pytest.mark.parametrize("tile_rows", [4096, 1])
-def test_simhash_links(spark, tile_rows):
+@pytest.mark.parametrize(("tile_rows", "part_rows"), [(4096, 4096), (1, 4096), (4096, 30)])
+def test_simhash_links(spark, tile_rows, part_rows):
     rng = random.Random(4)
     fps = []
     for c in range(30):
@@ -471,9 +581,9 @@ def test_simhash_links(spark, tile_rows):
                 f ^= 1 << rng.randrange(64)
     fps = list(dict.fromkeys(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    frame = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
-    edges = simhash.link(frame, tile_rows=tile_rows)
-    label = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    frame = spark.createDataFrame([(f, f if k % 7 else None) for k, f in enumerate(signed)], "fp long, first_id long").repartition(3)
+    edges = simhash.link(frame, tile_rows=tile_rows, part_rows=part_rows)
+    label = {r["node"]["fp"]: r["component"]["fp"] for r in components.connected_components(edges).collect()}
     got, want = {}, {}
     for (i, _, c), s in zip(_components_brute(list(enumerate(fps)), 4), signed):
         want.setdefault(c, set()).add(i)
@@ -487,7 +597,7 @@ def test_simhash_large_tile():
     centre = rng.integers(0, 1 << 63, 3).astype(np.uint64)
     flips = np.uint64(1) << rng.integers(0, 64, (3, 1500, 2)).astype(np.uint64)
     fps = np.unique(np.concatenate([(centre[:, None] ^ flips[:, :, 0] ^ flips[:, :, 1]).ravel(), rng.integers(0, 1 << 63, 300).astype(np.uint64)]))
-    assert len(fps) > simhash.MATRIX
+    assert len(fps) > 4 * simhash.SIDE
     root = simhash.link_tile(fps)
     want = _components_brute(list(enumerate(fps.tolist())), 4)
     low = {}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prosemeter.llm import registry
+from prosemeter.llm import registry, simhash, simhash_texts
 from tests.llm.test_operators import DOCS, ODD
 
 
@@ -65,6 +65,57 @@ def test_near_dedup_edited_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {d for d, _ in rows} - near
 
 
+@pytest.mark.parametrize("parts", [None, 300])
+def test_similar_texts(spark, parts, monkeypatch):
+    """Chains, copies and short texts against brute force; small parts split every group."""
+    if parts:
+        monkeypatch.setattr(simhash_texts, "PART_SHINGLES", parts)
+        monkeypatch.setattr(simhash, "PART_ROWS", 20)
+        monkeypatch.setattr(simhash_texts, "deal", lambda k, keys, name, rows=20, weight="1": simhash.deal(k, keys, name, rows, weight))
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    texts = [[f"w{k}"] for k in range(5)] + [words(3) for _ in range(3)] + [words(12) for _ in range(20)]
+    for _ in range(12):
+        base = words(rng.choice([9, 60, 200]))
+        for _ in range(12):  # a chain: each a little off the last
+            texts.append(list(base))
+            base[rng.randrange(len(base))] = "changed"
+    hub = words(120)
+    for _ in range(60):
+        copy = list(hub)
+        for p in rng.sample(range(120), rng.randrange(0, 5)):
+            copy[p] = f"w{rng.randrange(9000)}"
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["", "  ", "W1 w2 w3 w4 w5 w6", "w1 W2 w3 w4 w5 w6"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(999, None), (1000, texts[0])], "doc_id long, text string").repartition(3)
+    names = {r["text"]: r["node"] for r in docs.select("text", F.xxhash64("text").alias("node")).collect()}
+    label = {r["node"]: r["component"] for r in simhash_texts.similar_texts(docs).collect()}
+    distinct = list(names)
+    parent = list(range(len(distinct)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for t in distinct]
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    want = {}
+    for i, t in enumerate(distinct):
+        want.setdefault(find(i), set()).add(names[t])
+    got = {}
+    for n in names.values():
+        got.setdefault(label.get(n, n), set()).add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_run(spark, planted):
     rows = sorted(tuple(r) for r in corpus_pipeline.run(spark, planted).select("doc_id", "shard", "slot").collect())
     assert rows == sorted(tuple(r) for r in registry.QUERIES["pipeline"](spark, planted).select("doc_id", "shard", "slot").collect())
