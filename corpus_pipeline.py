@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosemeter.llm import decontam, langid, mixing, neardup, sharding
+from prosemeter.llm import decontam, langid, mixing, sharding, simhash_texts
 from prosemeter.llm.common import cut, table
 
 #: Below this corrected hit rate per n-gram a text is in none of the learned languages.
@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id (null last), of rows that repeat it the one with the smallest hash of its text.
     """
     marked = docs.withColumn("__node", F.xxhash64("text"))
-    near = cut(neardup.near_duplicates(docs), "near").withColumnRenamed("node", "__node")
+    near = cut(simhash_texts.similar_texts(docs), "near").withColumnRenamed("node", "__node")
     rows = marked.select("doc_id", "__node").join(near, "__node", "left").withColumn("component", F.coalesce("component", "__node"))
     least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__node")).alias("m"))
     first = least.select(F.col("m.doc_id").alias("__first"), F.col("m.__node").alias("__text"))
