@@ -5,10 +5,11 @@ n-gram hashes to, combined by AND, give the mask of all languages that contain i
 text's popcounts per language, corrected for each language's false positives (its share
 of filled slots to the power of the hash functions), decide.
 
-Fitting: at most about `rows_per_language` labelled rows of each language (a documented
-bound; chosen by a hash of the text), counted in parallel; a character trigram belongs
-to every language whose rate is at least `share` of its highest rate, at most
-`grams_per_language` the most frequent first. Only the filter reaches the driver.
+Fitting: at most about `rows_per_language` distinct labelled texts of each language, of the
+`max_languages` languages with the most of them (documented bounds of the sample; texts are
+chosen by their hash), counted in parallel; a character trigram seen `min_count` times belongs
+to every language whose rate is at least `share` of its highest rate. Only the filter reaches
+the driver. Empty tables: nothing is learned, or no rows come out.
 
 Prediction reads the text alone, whole, in pieces of a bounded size. Null texts and texts
 without a letter are `und` with score 0. With letters but no known n-gram the first
@@ -24,12 +25,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 ROWS_PER_LANGUAGE = 3000
-GRAMS_PER_LANGUAGE = 40_000
+MAX_LANGUAGES = 1000
 SHARE = 0.5
 MIN_COUNT = 3
 SLOTS = 1 << 20
@@ -141,16 +141,16 @@ class Filter:
         return self.languages[best], float(right[best] / whole) if whole else 0.0, float(min(1.0, right[best] / total)) if total else 0.0
 
 
-def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, grams_per_language: int = GRAMS_PER_LANGUAGE, share: float = SHARE, min_count: int = MIN_COUNT) -> Filter:
+def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, share: float = SHARE, min_count: int = MIN_COUNT) -> Filter:
     """(text, lang) -> Filter, from a bounded sample of the rows with both."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("count")).alias("rate"))
-    rates = {lang: rate for lang, rate in sizes.toLocalIterator()}
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    rates = {lang: min(1.0, rows_per_language / max(1, n)) for lang, n in sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not rates:
         return Filter.of({})
     of = F.create_map(*[F.lit(x) for item in rates.items() for x in item])
     draw = F.pmod(F.xxhash64(F.lit(97), "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(draw < of[F.col("lang")])
+    sample = rows.where(draw < of[F.col("lang")]).dropDuplicates(["lang", "text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,10 +166,9 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, grams_p
     sums = F.sum("n").over(Window.partitionBy("lang"))
     rated = counted.where(F.col("n") >= min_count).withColumn("rate", F.col("n") / sums)
     high = rated.withColumn("high", F.max("rate").over(Window.partitionBy("gram")))
-    kept = high.where(F.col("rate") >= share * F.col("high"))
-    ranked = kept.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= grams_per_language)
+    own = high.where(F.col("rate") >= share * F.col("high"))
     members: dict[str, list[int]] = {lang: [] for lang in rates}
-    for lang, gram in ranked.select("lang", "gram").toLocalIterator():
+    for lang, gram in own.select("lang", "gram").toLocalIterator():
         members[lang].append(gram)
     return Filter.of({k: np.array(v, dtype=np.int64).view(np.uint64) for k, v in members.items()})
 
