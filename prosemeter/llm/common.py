@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a temporary folder
-    is made, once a session.
+    Only on a local master without that setting (one machine, tests) a temporary folder is
+    made, once a session; a cluster without it is refused.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("spark.prosemeter.scratch", "")
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="prosemeter-")
@@ -35,17 +38,62 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths and tables that this driver has made and not removed, in order.
+MADE: list[str] = []
+#: Of those, results that the next sweep to end leaves.
+KEPT: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/prosemeter/{label}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/prosemeter/{label}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def scratch_table(label: str) -> str:
+    MADE.append(f"prosemeter_{label}_{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch paths and tables made inside, but for what `kept` wrote, which is left to
+    the sweep around this one. For steps whose result is written before the end."""
+    before = len(MADE)
+    try:
+        yield
+    finally:
+        mine, MADE[before:] = MADE[before:], [x for x in MADE[before:] if x in KEPT]
+        for name in mine:
+            if name in KEPT:
+                KEPT.remove(name)
+            elif "/" in name:
+                remove(spark, name)
+            else:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def kept_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As `written`, for a result that outlives the sweep around it."""
+    out, path = written(df, label)
+    KEPT.add(path)
+    return out, path
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    return kept_at(df, label)[0]
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write to the shared folder and read back: lineage ends here and a lost
-    executor costs a re-read, not a recomputation."""
+    executor costs a re-read, not a recomputation. Also the path, for `remove`."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    return written(df, label)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

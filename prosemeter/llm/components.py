@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemeter.llm.common import cut
+from prosemeter.llm.common import remove, written
 
 #: Tasks that the neighbours of one node spread over.
 SALT = 16
@@ -21,12 +21,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     empty table gives an empty table.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct()
-    e = cut(e, "edges")
+    e, path = written(e, "edges")
     before = _mark(e)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = cut(_small_star(_large_star(e)), "edges")
+        last = path
+        e, path = written(_small_star(_large_star(e)), "edges")
+        remove(e.sparkSession, last)  # a lost executor rereads the new table
         now = _mark(e)
         if now == before:
             break

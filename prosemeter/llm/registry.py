@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemeter.llm import decontam, langid, licenses, mixing, sharding, simhash, suffix_dedup, tokencount, topk, warc
-from prosemeter.llm.common import scratch_path, table
+from prosemeter.llm.common import kept, scratch_path, swept, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +49,8 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    with swept(spark):
+        return kept(suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), "dedup")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
