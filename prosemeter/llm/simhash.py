@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemeter.llm.common import byte_values, cut, groups
+from prosemeter.llm.common import byte_values, cut, groups, kept, swept
 from prosemeter.llm.components import connected_components
 
 RADIUS = 4
@@ -44,6 +44,8 @@ TILE_ROWS = 4096
 SIDE = 512
 #: Rows of a part of a hot block; a task compares two parts.
 PART_ROWS = 4096
+#: Rows of a key that make a part are the root of this times the rows.
+SPREAD = 100
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -130,15 +132,19 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def deal(keyed: DataFrame, keys: list[str], name: str, rows: int = PART_ROWS, weight: str = "1") -> DataFrame:
+def deal(keyed: DataFrame, keys: list[str], name: str, rows: int = PART_ROWS, spread: int = SPREAD, weight: str = "1") -> DataFrame:
     """Rows whose key others share, with columns i and j: each pair of parts of a key's rows is
-    one group by keys, i and j. Parts hold about `rows` rows (or sums of `weight`); `name` deals.
+    one group by keys, i and j. Parts hold at most about `rows` rows (or sums of `weight`), and
+    there are about sqrt(rows of the key / `spread`) at least, so that a hot key spreads over
+    tasks long before that; `name` deals.
     """
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.ceil(F.sum(F.expr(weight)) / rows).cast("int").alias("parts")).where("n > 1")
+    held = F.sum(F.expr(weight))
+    parts = F.greatest(F.ceil(held / rows), F.floor(F.sqrt(held / spread))).cast("int")
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1")
     met = keyed.join(cut(sizes.drop("n"), "sizes"), keys)
-    own = F.pmod(F.xxhash64(name), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64(name), F.greatest(F.col("parts"), F.lit(1))).cast("int")
     met = met.withColumn("own", own)
-    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("own", p).alias("i"), F.greatest("own", p).alias("j"))), lambda x: x.i < x.j)
+    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1), lambda p: F.struct(F.least("own", p).alias("i"), F.greatest("own", p).alias("j"))), lambda x: x.i < x.j)
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     dealt = met.withColumn("pair", F.explode(F.when(F.col("parts") < 2, alone).otherwise(pairs)))
     return dealt.select("*", "pair.i", "pair.j").drop("pair", "own", "parts").repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
@@ -172,8 +178,9 @@ def node(first_id: str, fp: str) -> Column:
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of `docs`."""
     marked = cut(fingerprints(docs, text_col, id_col), "fingerprints")
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    parts = connected_components(link(distinct, radius, tile_rows)).select(F.col("node.fp").alias("fp"), "component")
-    answer = F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component.first_id"))
-    by_fp = cut(distinct.join(parts, "fp", "left").select("fp", answer.alias("component_id")), "components")
+    with swept(docs.sparkSession):
+        distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        parts = connected_components(link(distinct, radius, tile_rows)).select(F.col("node.fp").alias("fp"), "component")
+        answer = F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component.first_id"))
+        by_fp = kept(distinct.join(parts, "fp", "left").select("fp", answer.alias("component_id")), "components")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemeter.llm.common import byte_values, cut, groups
+from prosemeter.llm.common import byte_values, cut, groups, kept, swept
 from prosemeter.llm.components import connected_components
 from prosemeter.llm.simhash import _hash, deal, link_tile
 
@@ -41,6 +41,7 @@ ROWS = 5
 #: Shingles whose minimums are taken at a time, and those that a part of a coarse group holds.
 PIECE = 2048
 PART_SHINGLES = 500_000
+SPREAD_SHINGLES = 4000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,9 +136,6 @@ def similar_texts(docs: DataFrame, text_col: str = "text", similarity: float = S
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep)), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), listed], names=["node", "n", "f0", "f1", "bands"])
 
-    signed = cut(texts.mapInArrow(sign, "node long, n long, f0 long, f1 long, bands array<long>").dropDuplicates(["node"]), "signed")
-    keyed = signed.select("node", "n", "f0", "f1", F.posexplode("bands").alias("band", "key"))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["band", "key", "i", "j"]):
             fps = np.stack([g.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1")], axis=1)
@@ -145,17 +143,21 @@ def similar_texts(docs: DataFrame, text_col: str = "text", similarity: float = S
             if links is not None:
                 yield links
 
-    tiles = deal(keyed, ["band", "key"], "node").select("band", "key", "i", "j", "node", "n", "f0", "f1")
-    coarse = connected_components(tiles.mapInArrow(compare, "a long, b long")).withColumnRenamed("component", "coarse")
-    members = cut(coarse.join(signed.select("node", "n"), "node"), "coarse")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["coarse", "i", "j"]):
             links = _moved(g.column("node").to_numpy(), verified([shingles(t) for t in byte_values(g.column("text"))], similarity))
             if links is not None:
                 yield links
 
-    met = cut(texts.join(members.select("node"), "node").dropDuplicates(["node"]), "texts")
-    dealt = deal(members, ["coarse"], "node", PART_SHINGLES, "n").join(met, "node")
-    pairs = dealt.select("coarse", "i", "j", "node", "text").repartition("coarse", "i", "j").sortWithinPartitions("coarse", "i", "j")
-    return connected_components(pairs.mapInArrow(verify, "a long, b long"))
+    with swept(docs.sparkSession):
+        signed = cut(texts.mapInArrow(sign, "node long, n long, f0 long, f1 long, bands array<long>").dropDuplicates(["node"]), "signed")
+        keyed = signed.select("node", "n", "f0", "f1", F.posexplode("bands").alias("band", "key"))
+
+        tiles = deal(keyed, ["band", "key"], "node").select("band", "key", "i", "j", "node", "n", "f0", "f1")
+        coarse = connected_components(tiles.mapInArrow(compare, "a long, b long")).withColumnRenamed("component", "coarse")
+        members = cut(coarse.join(signed.select("node", "n"), "node"), "coarse")
+
+        met = cut(texts.join(members.select("node"), "node").dropDuplicates(["node"]), "texts")
+        dealt = deal(members, ["coarse"], "node", PART_SHINGLES, SPREAD_SHINGLES, "n").join(met, "node")
+        pairs = dealt.select("coarse", "i", "j", "node", "text").repartition("coarse", "i", "j").sortWithinPartitions("coarse", "i", "j")
+        return kept(connected_components(pairs.mapInArrow(verify, "a long, b long")), "similar")
