@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -60,6 +61,42 @@ def test_language_accuracy(spark, data):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def _grams_brute(text):
+    out = ["".join(c if c.isalpha() else " " for c in text.lower())]
+    plain = " " + " ".join(out[0].split()) + " "
+    return [plain[i : i + 3] for i in range(len(plain) - 2)]
+
+
+def test_language_against_exact_sets(spark, data):
+    """The filter's languages and scores against n-gram sets held exactly."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    counts = {}
+    for lang, text in {(r["lang"], r["text"]) for r in docs if not held(r["doc_id"]) and r["lang"] is not None and r["text"] is not None}:
+        counts.setdefault(lang, Counter()).update(_grams_brute(text))
+    rates = {c: {g: n / n_all.total() for g, n in n_all.items() if n >= langid.MIN_COUNT} for c, n_all in counts.items()}
+    top = Counter()
+    for r in rates.values():
+        for g, x in r.items():
+            top[g] = max(top[g], x)
+    sets = {c: {g for g, x in r.items() if x >= langid.SHARE * top[g]} for c, r in rates.items()}
+    got = {r["doc_id"]: r for r in registry.op1_language_id(spark, data).collect()}
+    compared = 0
+    for d, text, _ in docs:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[d]["lang_pred"] == "und"
+            continue
+        hits = Counter({c: sum(g in s for g in _grams_brute(text)) for c, s in sets.items()})
+        (best, n), (_, second) = hits.most_common(2)
+        assert got[d]["held_out"] == held(d)
+        if n > 1.05 * second + 1:
+            compared += 1
+            assert got[d]["lang_pred"] == best and got[d]["score"] == pytest.approx(n / hits.total(), abs=0.02)
+    assert compared > 150
+
+
 def test_bit_slices_and_correction():
     rng = np.random.default_rng(0)
     sets = {c: rng.integers(0, 1 << 62, 3000).astype(np.uint64) for c in "abcdefghij"}  # more than eight languages
@@ -285,6 +322,21 @@ def _license_brute(text):
     return out
 
 
+def _license_any_place(text):
+    """Templates that some stretch of as many shingles holds, at any place."""
+    import re
+
+    split = lambda t: re.sub(r"[^\w]+|_", " ", (t or "").lower()).split()
+    grams = lambda w: [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+    own, out = grams(split(text)), set()
+    for name, t in licenses.TEMPLATES:
+        want = set(grams(split(t)))
+        hit = [g in want for g in own]
+        if any(len(set(own[s : s + len(want)]) & want) >= 0.8 * len(want) for s in range(len(own)) if hit[s]):
+            out.add(name)
+    return out
+
+
 def test_license_scan(spark, docs, rows, odd, none):
     t = licenses.template_table(spark)
     extra = [(900 + i, f"some words before it. {text.upper()} and after, {i}") for i, (_, text) in enumerate(licenses.TEMPLATES)]
@@ -295,6 +347,7 @@ def test_license_scan(spark, docs, rows, odd, none):
     got = {(r["doc_id"], r["template_id"]) for r in licenses.scan(both, t).collect()}
     assert got == {(d, name) for d, x in [*rows, *extra] for name in _license_brute(x)}
     assert {d for d, _ in got} >= {d for d, _ in extra}
+    assert got >= {(d, name) for d, x in [*rows, *extra] for name in _license_any_place(x)}  # no grid of windows
     assert licenses.scan(odd, t).count() == 0 and licenses.scan(none, t).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(odd, licenses.template_table(spark, [("x", "too short")]))
@@ -504,6 +557,32 @@ def test_sharding(spark, docs, odd, none):
     assert order != sorted(order) and abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.25
 
 
+def plain_shuffle(spark, rows, shards=40, seed=sharding.SEED):
+    """(id, text) -> (id, text, shard, slot) by the rules of the two passes, without them."""
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"))
+    buckets = max(sharding.MIN_BUCKETS, -(-sum(len((t or "").encode()) + 16 for _, t in rows) // sharding.BUCKET_BYTES))
+    own = {}
+    for d, t, h in frame.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", "text", "size")).collect():
+        own.setdefault(h % buckets, []).append((d, t))
+    out = []
+    for b in range(buckets):
+        order = sorted(own.get(b, []), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, (r[1] or "").encode()))
+        rng = np.random.Generator(np.random.PCG64([seed, b]))
+        for i in reversed(range(1, len(order))):
+            j = int(rng.integers(0, i + 1))
+            order[i], order[j] = order[j], order[i]
+        out += order
+    return [(d, t, p % shards, p // shards) for p, (d, t) in enumerate(out)]
+
+
+def test_sharding_against_plain_shuffle(spark, docs, rows, odd):
+    some = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    key = lambda r: (str(r[0]), r[1] or "", r[2], r[3])
+    for frame, plain, shards in ((docs, rows, 40), (odd, some, 3)):
+        got = [(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.external_shuffle(frame, shards=shards).collect()]
+        assert sorted(got, key=key) == sorted(plain_shuffle(spark, plain, shards), key=key)
+
+
 # ------------------------------------------------------------------ 9
 
 

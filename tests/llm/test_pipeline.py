@@ -3,12 +3,14 @@
 import os
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prosemeter.llm import registry, simhash, simhash_texts
-from tests.llm.test_operators import DOCS, ODD
+from prosemeter.llm import mixing, registry, simhash, simhash_texts
+from tests.llm.test_operators import DOCS, ODD, _overlap_brute, plain_shuffle
 
 
 @pytest.fixture(scope="module")
@@ -70,8 +72,8 @@ def test_similar_texts(spark, parts, monkeypatch):
     """Chains, copies and short texts against brute force; small parts split every group."""
     if parts:
         monkeypatch.setattr(simhash_texts, "PART_SHINGLES", parts)
-        monkeypatch.setattr(simhash, "PART_ROWS", 20)
-        monkeypatch.setattr(simhash_texts, "deal", lambda k, keys, name, rows=20, weight="1": simhash.deal(k, keys, name, rows, weight))
+        monkeypatch.setattr(simhash_texts, "SPREAD_SHINGLES", 50)
+        monkeypatch.setattr(simhash_texts, "deal", lambda k, keys, name, rows=20, spread=3, weight="1": simhash.deal(k, keys, name, rows, spread, weight))
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
     texts = [[f"w{k}"] for k in range(5)] + [words(3) for _ in range(3)] + [words(12) for _ in range(20)]
@@ -117,8 +119,27 @@ def test_similar_texts(spark, parts, monkeypatch):
 
 
 def test_run(spark, planted):
-    rows = sorted(tuple(r) for r in corpus_pipeline.run(spark, planted).select("doc_id", "shard", "slot").collect())
-    assert rows == sorted(tuple(r) for r in registry.QUERIES["pipeline"](spark, planted).select("doc_id", "shard", "slot").collect())
+    """The pipeline's rows against stages done by hand: pairs by Jaccard, all alignments of items,
+    DuckDB for the raking and the draw, and a plain shuffle."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{planted}/documents.parquet").collect()}
+    items = [r["text"] for r in spark.read.parquet(f"{planted}/benchmark.parquet").collect()]
+    left = [d for d in sorted(docs) if d < 400]  # 400 to 402 are in none of the languages
+    left = [d for d in left if not any(e < d and _jaccard(docs[d]["text"], docs[e]["text"]) >= 0.8 for e in left)]
+    left = [d for d in left if not any(_overlap_brute(docs[d]["text"].split(), x.split()) for x in items)]
+    documents = pd.DataFrame([{"doc_id": d, "text": docs[d]["text"], "lang": docs[d]["lang"], "source": docs[d]["source"]} for d in left])  # noqa: F841
+    kept = duckdb.sql(mixing.mix_sql()).fetchall()
+    want = plain_shuffle(spark, [(r[0], docs[r[0]]["text"]) for r in kept])
+    for got in (corpus_pipeline.run(spark, planted), registry.QUERIES["pipeline"](spark, planted)):
+        assert sorted(tuple(r) for r in got.select("doc_id", "text", "shard", "slot").collect()) == sorted(want)
+
+
+def test_scratch_is_removed(spark, planted):
+    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir').removeprefix('file://')}/prosemeter"
+    before = set(os.listdir(base))
+    corpus_pipeline.run(spark, planted).count()
+    assert len(set(os.listdir(base)) - before) <= 1  # what the last stage reads
+    registry.QUERIES["op6_suffix_dedup"](spark, planted).count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("prosemeter_")]
 
 
 @pytest.mark.parametrize("rows", [ODD, []])
