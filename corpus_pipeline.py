@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosemeter.llm import decontam, langid, mixing, sharding, simhash_texts
-from prosemeter.llm.common import cut, table
+from prosemeter.llm.common import cut, kept_at, remove, swept, table
 
 #: Below this corrected hit rate per n-gram a text is in none of the learned languages.
 LEAST_HIT_RATE = 0.2
@@ -66,7 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with swept(spark):  # what the stage wrote for itself goes, its result stays
+            docs, path = kept_at(stage(spark, docs, sf_dir), name)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
