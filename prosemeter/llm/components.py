@@ -47,7 +47,7 @@ def _with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
     """Rows (u, v) with the value m that `low` (x, m) has for u; hubs are spread over SALT tasks."""
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
     copies = low.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
-    return dealt.join(copies, (F.col("u") == F.col("x")) & (dealt["salt"] == copies["salt"])).select("u", "v", "m")
+    return dealt.join(copies.hint("merge"), (F.col("u") == F.col("x")) & (dealt["salt"] == copies["salt"])).select("u", "v", "m")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

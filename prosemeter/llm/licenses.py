@@ -110,3 +110,21 @@ def scan(docs: DataFrame, templates: DataFrame, similarity: float = SIMILARITY,
     share = F.size(F.array_intersect("own", "phrases")) / F.size("phrases")
     verified = found.select("doc_id", "template_id", "start", share.alias("share")).where(F.col("share") >= similarity)
     return verified.groupBy("doc_id", "template_id").agg(F.round(F.max("share"), 6).alias("containment"), F.countDistinct("start").alias("n_windows"), F.min("start").alias("first_word"))
+
+
+def scan_sql(templates=TEMPLATES, similarity: float = SIMILARITY, table: str = "documents") -> str:
+    """DuckDB SQL of the query's rows: every window of the grid, by joining shingles."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in templates)
+    split = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda z: z <> '')"
+    shingles = f"list_transform(range(0, len(w) - {K - 1}), lambda i: array_to_string(w[i + 1:i + {K}], ' '))"
+    return f"""
+WITH t AS (SELECT name AS template_id, {split.format('text')} AS w FROM (VALUES {listed}) v(name, text)),
+s AS (SELECT template_id, list_distinct({shingles}) AS p FROM t),
+g AS (SELECT template_id, unnest(p) AS phrase, len(p) AS n, greatest(4, CAST(pow(2, ceil(log2(len(p)))) AS INT)) AS b FROM s),
+d AS (SELECT doc_id, {split.format('text')} AS w FROM {table} WHERE text IS NOT NULL),
+o AS (SELECT doc_id, unnest({shingles}) AS phrase, unnest(range(0, len(w) - {K - 1})) AS pos FROM d WHERE len(w) >= {K}),
+h AS (SELECT doc_id, template_id, n, b, phrase, unnest([pos // b, pos // b - 1]) AS k FROM o JOIN g USING (phrase)),
+c AS (SELECT doc_id, template_id, k * b AS start, count(DISTINCT phrase) / CAST(n AS DOUBLE) AS share FROM h WHERE k >= 0 GROUP BY doc_id, template_id, k, b, n)
+SELECT doc_id, template_id, round(max(share), 6) AS containment, count(*) AS n_windows, CAST(min(start) AS INT) AS first_word FROM c WHERE share >= {similarity} GROUP BY doc_id, template_id
+"""

@@ -108,6 +108,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
+""",
+    "op4_license_scan": licenses.scan_sql(),
+    "op6_suffix_dedup": """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, array_slice(x, p + 1, p + 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS p FROM b WHERE n >= 100) u),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) t WHERE k > 1),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) t GROUP BY doc_id, run),
+e AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS s, list(z ORDER BY a) AS t FROM i GROUP BY doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, coalesce(n_spans, 0) + 1),
+    lambda j: hex(array_slice(x, coalesce(CASE WHEN j > 0 THEN t[j] END, 0) + 1, coalesce(s[j + 1], n)))), ''))) AS kept_sha256
+FROM b LEFT JOIN e USING (doc_id)
 """,
     "op9_mixing": mixing.mix_sql(),
     "op5_exact_topk": """
