@@ -15,6 +15,7 @@ from prosemeter.operators import stats as S
 from prosemeter.operators import windows as Wd
 from prosemeter.plans import duck
 from prosemeter.plans.common import Query, rounded, table, texts, turns, turns_sql
+from prosemeter.plans.readability import _DECOR, _DOC_FKGL, _counts
 
 REPLIES = (
     (1, "Coherence: 4.5 - reads well"), (1, "I would say 3"), (1, "no number"), (2, "Coherence: 2"), (2, "score 7 of 9"), (3, "nothing here"), (4, "Coherence:5"), (4, "5"),
@@ -167,6 +168,21 @@ def dataset_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.statistics(E.output_records(scored), ["source"]))
 
 
+def dataset_evaluation_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a whole evaluation with key facts, quiz and judge: benchmark items against their
+    next ones, quizzes and replies made from the item's number."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    facts = lambda d: d.select("item_id", F.explode(F.array_distinct(T.plain_tokens(F.col("text")))).alias("entity")).select("*", F.lit("said").alias("behavior"), (1 + F.length("entity") % 3).alias("priority"))
+    following = items.select((F.col("item_id") - 1).alias("item_id"), "text").join(items.select("item_id"), "item_id", "left_semi")
+    i = F.col("item_id")
+    answers = F.concat(F.array(F.when(i % 2 == 0, "a").otherwise("d"), F.lit("B "), F.when(i % 3 == 0, "c").otherwise("x")), F.when(i % 5 == 0, F.array(F.lit("more"))).otherwise(F.array().cast("array<string>")))
+    quiz = items.select("item_id", F.transform(F.array(*map(F.lit, "ABC")), lambda a: F.struct(a.alias("answer"))).alias("questions"), answers.alias("answers")).where("item_id % 7 <> 0")
+    replies = items.select("item_id", F.explode(F.array(F.concat(F.lit("Coherence: "), (i % 5).cast("string")), F.lit("no number"), F.concat(F.lit("say "), (1 + i % 4).cast("string")))).alias("reply")).where("item_id % 4 <> 0")
+    scored = E.evaluate(items, skip=frozenset({"coherence"}), figurativeness=lambda c: F.lit(0.25), emotionality=lambda c: F.lit(0.5))
+    whole = E.assemble(scored, ["item_id"], N.matched_scores(facts(items), facts(following), ["item_id"]), quiz, replies)
+    return rounded(E.statistics(E.output_records(whole)))
+
+
 def entity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equal event types of a user."""
     r = Wd.runs(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "event_type")
@@ -187,7 +203,7 @@ def request_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("custom_id", "attempt", "error", T.retryable(F.col("error")).alias("again"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (keyfact_precision_recall, keyfact_wrapped_json, keyfact_alignment, mcq_accuracy, judge_scores, score_reply_parser, sections, request_response_merge, ppl_side_statistics, binary_classification_metrics, fold_average, lcs_words, edit_operations, sentence_operations, coalesce_keyfacts, drop_empty_projection, resume_antijoin, prefix_split_file, placeholder_names, dataset_evaluation, entity_runs, neighbour_words, request_rounds)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (keyfact_precision_recall, keyfact_wrapped_json, keyfact_alignment, mcq_accuracy, judge_scores, score_reply_parser, sections, request_response_merge, ppl_side_statistics, binary_classification_metrics, fold_average, lcs_words, edit_operations, sentence_operations, coalesce_keyfacts, drop_empty_projection, resume_antijoin, prefix_split_file, placeholder_names, dataset_evaluation, dataset_evaluation_judged, entity_runs, neighbour_words, request_rounds)}
 
 
 def _values(rows: tuple) -> str:
@@ -204,6 +220,11 @@ _FIGURES = """g AS (SELECT l.doc_id, quality, CASE WHEN n_chars > 1500 THEN 1 EL
 s AS (SELECT {by} sum(CASE WHEN quality = 1 AND guess = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN quality = 0 AND guess = 1 THEN 1.0 ELSE 0 END)::DOUBLE AS fp, sum(CASE WHEN quality = 1 AND guess = 0 THEN 1.0 ELSE 0 END)::DOUBLE AS fn, avg(CASE WHEN quality = guess THEN 1.0 ELSE 0.0 END) AS accuracy FROM g WHERE quality IS NOT NULL {group}),
 p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM s),
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM p)"""
+_SCORE_PAIR = r'"index"\s*:\s*(\d+)\s*,\s*"score"\s*:\s*(\d+)'
+_SIZED = "CASE WHEN len({0}) = n THEN {0} WHEN len({0}) = n - 1 THEN list_append({0}, 0) END"
+_ENTITIES = "list_distinct(regexp_extract_all(reply, '\"entity\":\"({}\\d+)\"', 1))"
+_STATS = "round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY ALL"
+_VIVID = "0.4 * {0} + 0.3 * {1} + 0.3 * decorativeness"
 _HEAD = r"\n(==\s*[^=\n][^=\n]*\s*==)\n"
 
 SQL: dict[str, str] = {
@@ -238,5 +259,34 @@ SELECT event_type, count(*) AS n_runs, max(n) AS longest, CAST(sum(n) AS BIGINT)
 SELECT item_id, CAST(pos AS INT) AS pos, array_to_string(list_concat(w[greatest(pos - 2, 1):pos], w[pos + 2:pos + 4]), ' ') AS near FROM u""",
     "request_rounds": """SELECT custom_id, attempt, error, error IS NOT NULL AS again FROM (SELECT CAST(user_id AS VARCHAR) AS custom_id, event_id AS attempt, CASE WHEN event_type = 'error' THEN 'timeout' END AS error,
 row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error', event_id DESC) AS r FROM events) x WHERE r = 1""",
+    "keyfact_wrapped_json": f"""WITH r(id, reply) AS ({_values(FACT_REPLIES)}), l AS (SELECT id, CASE WHEN json_type(reply) = 'ARRAY' THEN reply
+  ELSE json_extract(reply, '$.' || coalesce(CASE WHEN json_type(reply, '$.keyfacts') IS NOT NULL THEN 'keyfacts' WHEN json_type(reply, '$.key_facts') IS NOT NULL THEN 'key_facts' END, list_filter(json_keys(reply), lambda k: json_type(reply, '$.' || k) = 'ARRAY')[1])) END AS facts FROM r),
+f AS (SELECT id, coalesce(json_extract_string(facts, '$[*].entity'), []) AS e, json_extract_string(facts, '$[*].priority') AS p FROM l)
+SELECT id, CAST(len(e) AS INT) AS n_facts, array_to_string(list_transform(range(1, len(e) + 1), lambda i: e[i] || ':' || p[i]), ',') AS facts FROM f""",
+    "keyfact_alignment": f"""WITH r(id, asked, reply) AS ({_values(PAIR_REPLIES)}), d AS (SELECT id, asked, len({_ENTITIES.format('g')}) AS g, len({_ENTITIES.format('t')}) AS t, unnest([0, 1, 2, 3]) AS priority FROM r)
+SELECT id, priority, CASE WHEN priority > 1 THEN -1.0 WHEN priority = asked THEN round(g / 3.0::DOUBLE, 6) ELSE 0.0 END AS precision, CASE WHEN priority > 1 THEN -1.0 WHEN priority = asked THEN round(t / 3.0::DOUBLE, 6) ELSE 0.0 END AS recall FROM d""",
+    "score_reply_parser": f"""WITH r(id, n, reply) AS ({_values(SCORE_REPLIES)}), t AS (SELECT id, n, regexp_replace(trim(reply), '^```[A-Za-z0-9_-]*\\s*|\\s*```$', '', 'g') AS x FROM r),
+a AS (SELECT id, n, CASE WHEN json_valid(x) THEN CAST(json_extract_string(x, '$.scores[*]') AS INT[]) END AS plain, CAST(regexp_extract_all(regexp_extract(x, '"scores"\\s*:\\s*\\[([^\\]]+)\\]', 1), '-?\\d+') AS INT[]) AS loose,
+  list_filter(list_zip(CAST(regexp_extract_all(x, '{_SCORE_PAIR}', 1) AS INT[]), CAST(regexp_extract_all(x, '{_SCORE_PAIR}', 2) AS INT[])), lambda z: z[2] <= 10 AND z[1] < n) AS pairs FROM t),
+b AS (SELECT id, n, {_SIZED.format('plain')} AS plain, {_SIZED.format('loose')} AS loose, list_transform(range(0, n), lambda k: list_filter(pairs, lambda z: z[1] = k)[-1][2]) AS pairs FROM a)
+SELECT id, array_to_string(CASE WHEN len(list_filter(plain, lambda z: z BETWEEN 0 AND 10)) = n THEN plain WHEN len(list_filter(loose, lambda z: z BETWEEN 0 AND 10)) = n THEN loose WHEN len(list_filter(pairs, lambda z: z IS NOT NULL)) = n THEN pairs END, ',') AS scores FROM b""",
+    "lcs_words": f"""WITH RECURSIVE p AS ({turns_sql(2)}), w AS (SELECT conv_id, turn, {duck.words('t0')} AS a, {duck.words('t1')} AS b FROM p),
+s AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(b, lambda z: 0) AS best FROM w UNION ALL
+  SELECT conv_id, turn, a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda q: CASE WHEN b[q] = a[i + 1] THEN 1 + CASE WHEN q > 1 THEN best[q - 1] ELSE 0 END ELSE best[q] END))) FROM s WHERE i < len(a))
+SELECT conv_id, turn, CAST(coalesce(best[-1], 0) AS INT) AS n_common FROM s WHERE i = len(a)""",
+    "dataset_evaluation": f"""WITH {_counts('doc_id, source, text', 'documents')}, f AS (SELECT *, {_DOC_FKGL} AS fkgl FROM r), {_DECOR},
+l AS (SELECT source, 'simplicity_fkgl_score' AS metric, fkgl AS value FROM f WHERE fkgl >= 0 UNION ALL SELECT source, 'coherence_ppl_score', length(text) / 10.0::DOUBLE FROM f WHERE trim(coalesce(text, '')) <> ''
+  UNION ALL SELECT source, unnest(['vividness_score', 'figurativeness', 'emotionality', 'decorativeness']), unnest([{_VIVID.format('g', 'e')}, g, e, decorativeness]) FROM (SELECT *, CASE WHEN trim(coalesce(text, '')) = '' THEN 0.0 ELSE 0.25 END::DOUBLE AS g, CASE WHEN trim(coalesce(text, '')) = '' THEN 0.0 ELSE 0.5 END::DOUBLE AS e FROM dec) x)
+SELECT source, metric, {_STATS}""",
+    "dataset_evaluation_judged": f"""WITH {_counts('item_id', 'benchmark')}, f AS (SELECT *, {_DOC_FKGL} AS fkgl FROM r), {_DECOR.replace('FROM documents', 'FROM benchmark')},
+k AS (SELECT a.item_id, unnest({_TOKENS.format('a.text')}) AS e, 1 AS g, 0 AS t FROM benchmark a UNION ALL SELECT a.item_id, unnest({_TOKENS.format('b.text')}), 0, 1 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+m AS (SELECT item_id, e, unnest([0, 1 + length(e) % 3]) AS priority, sum(g) AS g, sum(t) AS t FROM k GROUP BY item_id, e),
+s AS (SELECT item_id, priority, sum(g) AS ng, sum(t) AS nt, sum(least(g, t)) AS k FROM m GROUP BY ALL),
+l AS (SELECT 'simplicity_fkgl_score' AS metric, fkgl AS value FROM f WHERE fkgl >= 0 UNION ALL SELECT unnest(['vividness_score', 'figurativeness', 'emotionality', 'decorativeness']), unnest([{_VIVID.format('0.25', '0.5')}, 0.25, 0.5, decorativeness]) FROM dec
+  UNION ALL SELECT 'keyfacts_precision' || CASE WHEN priority > 0 THEN '_by_priority.priority_' || priority ELSE '' END, least(1.0, k / CAST(ng AS DOUBLE)) FROM s WHERE ng > 0
+  UNION ALL SELECT 'keyfacts_recall' || CASE WHEN priority > 0 THEN '_by_priority.priority_' || priority ELSE '' END, least(1.0, k / CAST(nt AS DOUBLE)) FROM s WHERE nt > 0
+  UNION ALL SELECT 'informativeness_score', CASE WHEN item_id % 5 = 0 THEN 0 ELSE (1 + CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END) / 3.0::DOUBLE END FROM benchmark WHERE item_id % 7 <> 0
+  UNION ALL SELECT 'coherence_llm_score', (item_id % 5 + 1 + item_id % 4) / 2.0::DOUBLE FROM benchmark WHERE item_id % 4 <> 0)
+SELECT metric, {_STATS}""",
     "placeholder_names": "SELECT * FROM (VALUES (1, 'ann lee went to rome .'), (2, 'nobody came'), (3, 'ann lee PERSON@2')) t(id, text)",
 }

@@ -18,7 +18,7 @@ VALENCE = (("the", 0.1), ("and", -0.2), ("que", 0.5), ("von", -0.4), ("of", 0.3)
 
 
 def fkgl_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.readability_by_key(texts(spark, sf_dir), ["doc_id"]))
+    return rounded(D.readability_by_row(texts(spark, sf_dir), ["doc_id"]))
 
 
 def fkgl_corpus_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:

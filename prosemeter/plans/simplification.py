@@ -208,7 +208,7 @@ SELECT role, n, count(*) AS n_distinct, CAST(sum(c) AS BIGINT) AS n_grams, max(c
     "token_f1": f"WITH {_samples()}, {_F1} SELECT round(100 * avg(f1), 6) AS f1_token, count(*) AS n FROM f1r",
     "baselines_leaderboard": _board(_SYSTEMS),
     "reference_row": _board(_REFROW),
-    "quality_estimation": f"""WITH p AS (SELECT substr(t0, 1, 400) AS a, substr(t1, 1, 400) AS b FROM ({turns_sql(2)}) x), n AS (SELECT {duck.normalize('a', False)} AS o, {duck.normalize('b', False)} AS s FROM p),
+    "quality_estimation": f"""WITH p AS (SELECT t0 AS a, t1 AS b FROM ({turns_sql(2)}) x), n AS (SELECT {duck.normalize('a', False)} AS o, {duck.normalize('b', False)} AS s FROM p),
 w AS (SELECT *, {duck.split_words('o')} AS ow, {duck.split_words('s')} AS sw FROM n),
 f AS (SELECT CASE WHEN length(o) > 0 THEN length(s) / CAST(length(o) AS DOUBLE) ELSE 0 END AS compression, ({duck.boundary_sentences('sw')}) / CAST(greatest({duck.boundary_sentences('ow')}, 1) AS DOUBLE) AS splits,
   CASE WHEN o = s THEN 1.0 ELSE 0.0 END AS exact, {_prop('sw', 'ow')} AS additions, {_prop('ow', 'sw')} AS deletions, o, s FROM w)
