@@ -46,13 +46,21 @@ def _replace(c: Column, a: str, b: str) -> Column:
     return F.replace(c, F.lit(a), F.lit(b))
 
 
+#: The published international tokenizer splits punctuation but between numbers, and symbols.
+SPLITS_INTL = ((r"(\P{N})(\p{P})", "$1 $2 "), (r"(\p{P})(\P{N})", " $1 $2"), (r"(\p{S})", " $1 "))
+
+
 def normalize(c: Column, lowercase: bool = True, tokenizer: str = "13a") -> Column:
-    """Tokens joined by single spaces; tokenizer 13a or none."""
+    """Tokens joined by single spaces; tokenizer 13a, intl or none."""
     c = F.lower(c) if lowercase else c
     if tokenizer == "none":
         return squeeze(c)
+    if tokenizer == "intl":
+        for pattern, to in SPLITS_INTL:
+            c = F.regexp_replace(c, pattern, to)
+        return squeeze(c)
     if tokenizer != "13a":
-        raise ValueError(f"no tokenizer {tokenizer!r}; there are 13a and none")
+        raise ValueError(f"no tokenizer {tokenizer!r}; there are 13a, intl and none")
     c = _replace(_replace(_replace(c, "<skipped>", ""), "-\n", ""), "\n", " ")
     for a, b in ENTITIES:
         c = _replace(c, a, b)
@@ -183,7 +191,8 @@ def strip_fences(c: Column) -> Column:
     return F.regexp_replace(strip(c), rf"^```[A-Za-z0-9_-]*{WS}*|{WS}*```$", "")
 
 
-RETRYABLE = r"(?i)(429|500|502|503|504|rate limit|timeout|timed out|connection|overloaded|temporarily)"
+#: Messages after which a request is made again.
+RETRYABLE = r"(?i)(500|502|503|504|rate limit|timeout|connection)"
 RETRYABLE_QA = r"(?i)(429|502|503|rate limit|timeout|timed out|connection|overloaded)"
 
 

@@ -4,6 +4,7 @@ one row's words each, so memory follows the longest row."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +26,24 @@ def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence. Equal last words always pair; on a tie the end of
     the first list is dropped."""
     n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
+    above = np.zeros(m + 1, dtype=np.int32)
+    up = np.zeros((n + 1, m // 8 + 1), dtype=np.uint8)  # a bit a cell: the end of the first list is dropped
     codes = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
     y = np.array([codes[w] for w in b], dtype=np.int64)
     for i in range(1, n + 1):
         same = y == codes[a[i - 1]]
         # a row of the table: diagonal + 1 where equal, else the larger neighbour, left to right
-        best = np.where(same, table[i - 1, :-1] + 1, table[i - 1, 1:])
-        table[i, 1:] = np.maximum.accumulate(best)
+        row = np.zeros(m + 1, dtype=np.int32)
+        row[1:] = np.maximum.accumulate(np.where(same, above[:-1] + 1, above[1:]))
+        bits = np.packbits(above[1:] >= row[:-1], bitorder="little")
+        up[i, : len(bits)] = bits
+        above = row
     out, i, j = [], n, m
     while i and j:
         if a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif table[i - 1, j] >= table[i, j - 1]:
+        elif up[i, (j - 1) >> 3] >> ((j - 1) & 7) & 1:
             i -= 1
         else:
             j -= 1
@@ -149,14 +154,24 @@ def edit_labels(a: list[str], b: list[str], pairs: list[tuple[int, int]]) -> tup
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[int]:
     """Positions of a longest chain with increasing targets."""
-    best: list[tuple[int, int]] = []
+    # of equally long chains the one whose ends come first: lowest[r] has the chains of length r + 1 by
+    # falling target, so the earliest end below a target is found by bisection
+    ends: list[list[int]] = []  # places of ends of length r + 1, in order; targets fall along them
+    before: list[int] = []
     for k, (_, j) in enumerate(pairs):
-        before = max(((best[p][0], -p) for p in range(k) if pairs[p][1] < j), default=(0, 1))
-        best.append((before[0] + 1, -before[1] if before[1] <= 0 else -1))
-    out, k = [], max(range(len(best)), key=lambda x: (best[x][0], -x), default=-1)
+        r = bisect_left(ends, True, key=lambda of: pairs[of[-1]][1] >= j)
+        if r:
+            of = ends[r - 1]
+            before.append(of[bisect_left(of, True, key=lambda p: pairs[p][1] < j)])
+        else:
+            before.append(-1)
+        if r == len(ends):
+            ends.append([])
+        ends[r].append(k)
+    out, k = [], ends[-1][0] if ends else -1
     while k >= 0:
         out.append(k)
-        k = best[k][1]
+        k = before[k]
     return out[::-1]
 
 

@@ -42,6 +42,12 @@ def readability_by_key(docs: DataFrame, keys: list[str], text: str = "text") ->
     return scored.withColumn("fkgl_label", B.fkgl_label(F.col("fkgl")))
 
 
+def readability_by_row(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The columns of `readability` for every row, with `keys`; rows that repeat or lack them stay rows
+    of their own, and none gathers in a task."""
+    return readability_by_key(docs.withColumn("__row", F.monotonically_increasing_id()), ["__row", *keys], text).drop("__row")
+
+
 def readability_of(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """Corpus FKGL by group: a ratio of sums."""
     sums = _word_sums(docs, by, text).drop("n")
@@ -97,6 +103,14 @@ def lexicon_level(docs: DataFrame, lexicon: DataFrame, keys: list[str], text: st
     return found.groupBy(*keys).agg((F.sum(F.col("level") * F.col("c")) / F.sum("c")).alias("level"), F.min("level").alias("min_level"), F.max("level").alias("max_level"), F.sum("c").alias("n_found"))
 
 
+def level_summary(levels: DataFrame, of: dict) -> DataFrame:
+    """A corpus figure from documents' `level`: average, least and greatest with their names by `of`
+    (a bucket table), all texts and those with a level."""
+    named = lambda c: F.when(F.col(c).isNotNull(), B.bucket(F.round(c, 9), of))
+    one = levels.agg(F.avg("level").alias("average_level"), F.min("level").alias("min_level"), F.max("level").alias("max_level"), F.count("*").alias("total_texts"), F.count("level").alias("valid_texts"))
+    return one.withColumns({f"{c}_name": F.coalesce(named(c), F.lit("N/A")) for c in ("average_level", "min_level", "max_level")})
+
+
 def lexicon_share(docs: DataFrame, scores: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, positive, negative, emotionality): shares of positive and negative lexicon weight.
 
@@ -115,6 +129,7 @@ def compare(a: str, b: str, lower_wins: bool = False) -> Column:
     return F.when(wins, "text_1").otherwise("text_2")
 
 
+#: Fixed values below: how a comparison words its result.
 def compare_vividness(a: Column, b: Column, dead_band: float = 0.05) -> tuple[Column, Column]:
     """(comparison text, winner): the text has a dead band, the winner has none."""
     d = a - b

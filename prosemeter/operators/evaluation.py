@@ -41,10 +41,38 @@ def evaluate(records: DataFrame, text: str = "text", skip: frozenset[str] = froz
     return out
 
 
+PRIORITIES = (1, 2, 3)
+
+
+def assemble(scored: DataFrame, keys: list[str], facts: DataFrame | None = None, quiz: DataFrame | None = None, replies: DataFrame | None = None) -> DataFrame:
+    """Scored records with what came back from the judges; each part is optional and each record stays.
+
+    facts: (keys, priority, precision, recall), priority 0 being all, as the key-fact operators give
+    them; quiz: (keys, questions, answers); replies: (keys, reply), several a record. Records without
+    an answer have nulls, which the statistics leave out.
+    """
+    out = scored
+    if facts is not None:
+        pick = lambda c, p: F.max(F.when(F.col("priority") == p, F.col(c)))
+        entries = lambda c: F.filter(F.array(*(F.struct(F.lit(f"priority_{p}").alias("key"), pick(c, p).alias("value")) for p in PRIORITIES)), lambda e: e["value"].isNotNull())
+        wide = facts.groupBy(*keys).agg(*(x for c in ("precision", "recall") for x in (pick(c, 0).alias(f"keyfacts_{c}"), F.map_from_entries(entries(c)).alias(f"keyfacts_{c}_by_priority"))))
+        out = out.join(wide, keys, "left")
+    if quiz is not None:
+        out = out.join(quiz.select(*keys, N.mcq_accuracy(F.col("questions"), F.col("answers")).alias("informativeness_score")), keys, "left")
+    if replies is not None:
+        out = out.join(N.judged(replies, keys).select(*keys, F.col("score").alias("coherence_llm_score")), keys, "left")
+    return out
+
+
 def output_records(scored: DataFrame, text: str = "text") -> DataFrame:
     """Without the texts, and with nulls for what is empty."""
     return N.drop_empty(scored.drop(text))
 
 
 def statistics(scored: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    return metric_statistics(scored, {m: v for m, v in METRICS.items() if m in scored.columns}, by)
+    """(by, metric, mean, min, max, count) of every metric that has valid scores, key facts by priority too."""
+    by_priority = [(f"keyfacts_{c}_by_priority", f"priority_{p}") for c in ("precision", "recall") for p in PRIORITIES]
+    wide = scored.withColumns({f"{c}.{k}": F.try_element_at(c, F.lit(k)) for c, k in by_priority if c in scored.columns})
+    plain = wide.withColumnsRenamed({c: c.replace(".", "__") for c in wide.columns if "." in c})
+    found = metric_statistics(plain, {m: v for m, v in (METRICS | {f"{c}__{k}": True for c, k in by_priority}).items() if m in plain.columns}, by)
+    return found.withColumn("metric", F.replace("metric", F.lit("__"), F.lit(".")))

@@ -97,6 +97,8 @@ def keyfact_path(path: str) -> str:
     return f"{head}.keyfacts" if dot else "generated_keyfacts"
 
 
+#: Fixed value: the field of `analysis` that holds the relevance score.
+RELEVANCE = "\u5185\u5bb9\u5173\u8054\u6027\u8bc4\u5206"
 KNOWN_NAMES = ("popsci_article", "wikipedia_article", "source", "analysis", "original_data")
 
 
@@ -114,6 +116,7 @@ def detect_fields(schema: Ty.StructType) -> dict[str, str | None]:
 
 def flatten_record(df: DataFrame, model: str | None = None) -> DataFrame:
     """The flat record of a nested one; `model` names the entry of `models` (the first if None)."""
+    relevance = resolve_path(df.schema, f"original_data.analysis.{RELEVANCE}")
     root = "original_data.original_data"
     pick = F.map_entries("models")[0] if model is None else F.struct(F.lit(model).alias("key"), F.try_element_at("models", F.lit(model)).alias("value"))
     sides = [F.col(f"{root}.{article}.{c}").alias(f"{short}_{c}") for short, article in (("popsci", "popsci_article"), ("wiki", "wikipedia_article")) for c in ("title", "content", "url")]
@@ -121,6 +124,7 @@ def flatten_record(df: DataFrame, model: str | None = None) -> DataFrame:
     facts = resolve_path(df.schema, f"{root}.wikipedia_article.keyfacts")
     return picked.select(
         *sides, (F.coalesce(facts, F.array().cast(FACTS)) if facts is not None else F.array().cast(FACTS)).alias("wiki_keyfacts"), F.col(f"{root}.source").alias("source"),
+        (relevance if relevance is not None else F.lit(None)).cast("int").alias("content_relevance_score"),
         F.col("__m.key").alias("model_name"), F.col("__m.value.title").alias("model_title"), F.col("__m.value.content").alias("model_output"),
     )
 
@@ -138,6 +142,18 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def merged_maps(*maps: Column) -> Column:
+    """Union of maps; of keys that several hold the last one counts, and null maps are empty."""
+    pairs = F.flatten(F.array(*(F.coalesce(F.map_entries(m), F.array()) for m in maps)))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    """Every element of a is in b."""
+    return F.size(F.array_except(a, b)) == 0
+
+
 def first_facts(*sources: Column) -> Column:
     """The first of several lists that is not null or empty."""
     return F.coalesce(*(F.when(F.size(c) > 0, c) for c in sources))
@@ -239,6 +255,11 @@ def judged(replies: DataFrame, keys: list[str], reply: str = "reply") -> DataFra
     return s.groupBy(*keys).agg(F.coalesce(F.avg("s"), F.lit(-1.0)).alias("score"), F.count("s").alias("n"))
 
 
+#: How replies write scores.
+SCORE_LIST = r'"scores"\s*:\s*\[([^\]]+)\]'
+SCORE_PAIR = r'"index"\s*:\s*(\d+)\s*,\s*"score"\s*:\s*(\d+)'
+
+
 def parse_scores(reply: Column, expected: Column) -> Column:
     """Section scores of a reply, or null: the JSON field `scores`, else the first bracket after the
     word, else index/score pairs. One score too few is made up with 0; scores are 0 to 10."""
@@ -247,10 +268,9 @@ def parse_scores(reply: Column, expected: Column) -> Column:
     ranged = lambda a: F.when(F.forall(a, lambda x: x.isNotNull() & (x >= 0) & (x <= 10)), a)
     raw = F.from_json(F.get_json_object(text, "$.scores"), "array<string>")
     plain = F.when(F.forall(raw, lambda x: x.rlike(r"^-?\d+$")), F.transform(raw, lambda x: x.try_cast("int")))
-    inside = F.regexp_extract(text, r'"scores"\s*:\s*\[([^\]]+)\]', 1)
+    inside = F.regexp_extract(text, SCORE_LIST, 1)
     loose = F.when(inside != "", F.transform(F.regexp_extract_all(inside, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.try_cast("int")))
-    pair = r'"index"\s*:\s*(\d+)\s*,\s*"score"\s*:\s*(\d+)'
-    index, score = (F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(g)), lambda x: x.try_cast("int")) for g in (1, 2))
+    index, score = (F.transform(F.regexp_extract_all(text, F.lit(SCORE_PAIR), F.lit(g)), lambda x: x.try_cast("int")) for g in (1, 2))
     pairs = F.reverse(F.filter(F.arrays_zip(index.alias("i"), score.alias("s")), lambda p: (p["s"] <= 10) & (p["i"] < expected)))
     indexed = F.transform(F.sequence(F.lit(0), F.greatest(expected - 1, F.lit(0))), lambda k: F.get(F.filter(pairs, lambda p: p["i"] == k), F.lit(0))["s"])
     full = F.when((expected > 0) & F.forall(indexed, lambda x: x.isNotNull()), indexed)
@@ -259,6 +279,7 @@ def parse_scores(reply: Column, expected: Column) -> Column:
 
 # ------------------------------------------------------------------ sections
 
+#: Fixed value: a level-two heading on a line of its own.
 HEADING = r"\n(==\s*[^=\n][^=\n]*\s*==)\n"
 
 

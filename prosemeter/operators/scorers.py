@@ -42,8 +42,9 @@ def _one(score: Scorer, text: str, failed: float) -> float:
         return failed
 
 
-def unigram_perplexity(counts: dict[str, int], cap: int = 512) -> Callable[[], Scorer]:
-    """Fallback language model: add-one unigrams; perplexity over at most `cap` words, 1000 without one."""
+def unigram_perplexity(counts: dict[str, int], cap: int | None = None) -> Callable[[], Scorer]:
+    """Fallback language model: add-one unigrams; perplexity over all words, or the first `cap` as a model of that
+    context has it; 1000 without one."""
     total, kinds = sum(counts.values()), len(counts) + 1
 
     def make() -> Scorer:
@@ -60,7 +61,27 @@ def unigram_perplexity(counts: dict[str, int], cap: int = 512) -> Callable[[], S
     return make
 
 
-def word_counts(docs: DataFrame, text: str, most: int = 20_000) -> dict[str, int]:
-    """The `most` frequent words: the bounded table of the fallback model."""
+def word_counts(docs: DataFrame, text: str, most: int = 1_000_000) -> dict[str, int]:
+    """Counts of all words for the fallback model, which workers hold; over `most` distinct words
+    (a memory bound, some 100 MB) it raises: `unigram_perplexity_of` joins counts instead."""
     w = docs.select(F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("w")).where("w <> ''").groupBy("w").count()
-    return Counter(dict(w.orderBy(F.desc("count"), "w").limit(most).toLocalIterator()))
+    got = Counter(dict(w.limit(most + 1).toLocalIterator()))
+    if len(got) > most:
+        raise ValueError(f"more than {most} distinct words")
+    return got
+
+
+def unigram_perplexity_of(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """(keys, perplexity) by the counts of all words of `docs`, add-one, joined and not collected:
+    what is counted grows with the input. Texts without a word score 1000.
+
+    Words are summed by document before they meet their counts.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda x: x != "")
+    own = docs.select(*keys, F.explode_outer(words).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("c"))
+    counts = own.where("w is not null").groupBy("w").agg(F.sum("c").alias("n"))
+    whole = counts.agg((F.sum("n") + F.count("*") + 1).alias("whole"))  # a single row
+    scored = own.join(counts, "w", "left").withColumn("nll", -F.col("c") * F.log(F.col("n") + 1))
+    sums = scored.groupBy(*keys).agg(F.sum("nll").alias("s"), F.sum(F.when(F.col("w").isNotNull(), F.col("c"))).alias("m"))
+    mean = (F.col("s") + F.col("m") * F.log("whole")) / (F.col("m") + 1e-9)
+    return sums.join(F.broadcast(whole)).select(*keys, F.when(F.col("m") > 0, F.exp(mean)).otherwise(1000.0).alias("perplexity"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosemeter.functions import text as T
+
 
 def metric_statistics(scores: DataFrame, metrics: dict[str, bool], by: list[str] = []) -> DataFrame:  # noqa: B006
     """(by, metric, mean, min, max, count) in one pass; metrics: name -> whether negatives are
@@ -30,6 +32,23 @@ def study_statistics(scores: DataFrame, value: str, by: list[str], low: float =
     return sums.join(middle.select(*by, F.col("v").alias("median")), by).select(*by, "mean", "median", "std", "min", "max", "n")
 
 
+def first_rows(rows: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """The first n rows by `order`; all without an n or for 0 and less."""
+    return rows.orderBy(*order).limit(n) if n and n > 0 else rows
+
+
+def at_indices(rows: DataFrame, index: str, chosen: list[int] | None) -> DataFrame:
+    """Rows whose index is among those chosen; all for None."""
+    return rows if chosen is None else rows.where(F.col(index).isin(chosen) if chosen else F.lit(False))
+
+
+def perplexity_study(texts: DataFrame, score: str, text: str, by: list[str], order: list[str], first: int | None = 20, least: int = 50) -> DataFrame:
+    """(by, mean, median, std, min, max, n): of each group's first texts by `order` (a feature of the
+    study; None for all), those of `least` characters without outer blanks, with scores inside (0, 10000)."""
+    ranked = texts.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= first) if first else texts
+    return study_statistics(ranked.where(F.length(T.strip(F.col(text))) >= least), score, by)
+
+
 def binary_figures(labels: DataFrame, truth: str, guess: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """(by, accuracy, precision, recall, f1) of 0/1 columns."""
     hit = lambda test: F.sum(F.when(test, 1).otherwise(0))

@@ -23,16 +23,27 @@ def request_file(requests: DataFrame, path: str) -> None:
 
 
 def replaced(rows: DataFrame, path: str) -> None:
-    """Rewrites a JSON folder as a whole: written beside it, then swapped in."""
+    """Rewrites a JSON folder as a whole: written beside it, the old one renamed aside, the new one
+    renamed in, then the old one deleted; at every moment one of the two is there whole. A folder
+    that an interrupted call left aside is put back first.
+    """
     spark = rows.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    new, here, aside = (jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", "", ".old"))
+    fs = here.getFileSystem(conf)
+    if fs.exists(aside) and not fs.exists(here):
+        _rename(fs, aside, here)
     rows.write.mode("overwrite").json(f"{path}.new")
-    fs = old.getFileSystem(conf)
-    if fs.exists(old):
-        fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not rename {new} to {old}")
+    fs.delete(aside, True)
+    if fs.exists(here):
+        _rename(fs, here, aside)
+    _rename(fs, new, here)
+    fs.delete(aside, True)
+
+
+def _rename(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"could not rename {a} to {b}")
 
 
 def per_title(rows: DataFrame, path: str, title: str = "title") -> None:
@@ -47,11 +58,13 @@ def json_and_lines(rows: DataFrame, path: str) -> None:
 
 
 def html_table(rows: DataFrame, most: int = 1000) -> str:
-    """A small result as an HTML table, on the driver."""
-    got = rows.limit(most).collect()
+    """A small result as an HTML table, on the driver; one of over `most` rows says that it ends there."""
+    got = rows.limit(most + 1).collect()
+    more = f"<p>First {most} rows of more.</p>" if len(got) > most else ""
+    got = got[:most]
     head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in got)
-    return f'<table class="table"><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>'
+    return f'<table class="table"><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>{more}'
 
 
 def html_report(title: str, parts: dict[str, DataFrame], notes: str = "") -> str:
