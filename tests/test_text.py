@@ -38,7 +38,8 @@ def test_small_functions(spark):
     assert one(spark, T.preview(F.lit("abcdef"), 3)) == "abc..."
     assert one(spark, T.strip_fences(F.lit("```json\n{}\n```"))) == "{}"
     assert one(spark, T.fill_template(F.lit("{a}-{b}"), a=F.lit("1"), b=F.lit("2"))) == "1-2"
-    assert one(spark, T.retryable(F.lit("Error 429: slow down")))
+    assert one(spark, T.retryable(F.lit("Error 503: slow down"))) and not one(spark, T.retryable(F.lit("Error 429: slow down")))
+    assert one(spark, T.retryable(F.lit("Error 429: slow down"), T.RETRYABLE_QA))
     assert not one(spark, T.retryable(F.lit(None).cast("string")))
     assert not one(spark, T.retryable(F.lit("500"), T.RETRYABLE_QA))
     assert one(spark, T.safe_divide(F.lit(1.0), F.lit(0.0))) == 0
