@@ -197,14 +197,16 @@ def sentence_groups(pairs: list[tuple[int, int]]) -> list[tuple[list[int], list[
 
 def samsa_score(scenes: list[dict], n_sentences: int) -> float:
     """Score in [0, 1] of one text given its scenes: dicts of the sentence a scene matches, and whether
-    its relation's and each participant's minimal centre appears there."""
+    its relation's and each participant's minimal centre appears there (None: it has no centre, half a
+    point; so does a scene without participants)."""
+    point = lambda x: 0.5 if x is None else float(bool(x))
     n = len(scenes)
     if not n or n < n_sentences:
         return 0.0
     total = 0.0
     for s in scenes:
         people = s["participants"]
-        total += 0.5 * bool(s["relation"]) + (0.5 * sum(map(bool, people)) / len(people) if people else 0.0)
+        total += 0.5 * point(s["relation"]) + 0.5 * (sum(map(point, people)) / len(people) if people else 0.5)
     return n_sentences / n**2 * total
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split("v", r"\r?\n")).alias("row_id", "text")).select(F.col("row_id").cast("long").alias("row_id"), T.strip(F.col("text")).alias("text"))
 
 
+def piped_lines(spark: SparkSession, stream: Iterable[str]) -> DataFrame:
+    """(row_id, text) of lines piped to the driver (standard input), as `lines` has them."""
+    return spark.createDataFrame([(i, x.rstrip("\r\n").strip()) for i, x in enumerate(stream)], "row_id long, text string")
+
+
 def split_lines(spark: SparkSession, path: str, mark: str = SPLIT) -> DataFrame:
     """(row_id, parts): lines of sentences split by a mark."""
     return lines(spark, path).select("row_id", F.transform(F.split("text", mark), T.strip).alias("parts"))

@@ -67,6 +67,14 @@ def html_table(rows: DataFrame, most: int = 1000) -> str:
     return f'<table class="table"><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>{more}'
 
 
+def fixed_width(rows: DataFrame, most: int = 1000, places: int = 3) -> str:
+    """A small result as a table of fixed width, on the driver; one of over `most` rows says that it ends there."""
+    got = [["" if v is None else str(rounded(v, places)) for v in r] for r in rows.limit(most + 1).collect()]
+    more = ["..."] if len(got) > most else []
+    wide = [max(len(x) for x in column) for column in zip(rows.columns, *got[:most])]
+    return "\n".join([" | ".join(x.ljust(w) for x, w in zip(r, wide)).rstrip() for r in [rows.columns, ["-" * w for w in wide], *got[:most]]] + more)
+
+
 def html_report(title: str, parts: dict[str, DataFrame], notes: str = "") -> str:
     """A page of tables: description, scores, scores by length, samples."""
     inner = "".join(f"<h2>{html.escape(name)}</h2>{html_table(df)}" for name, df in parts.items())
