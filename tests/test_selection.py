@@ -1,5 +1,6 @@
 """Sample and subset filters, map unions, whole evaluations, and rows that lack or repeat their keys."""
 
+import json
 import math
 import os
 from collections import Counter
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 
 from prosemeter.functions import buckets as B
 from prosemeter.functions import text as T
+from prosemeter.functions import words as W
 from prosemeter.operators import documents as D
 from prosemeter.operators import evaluation as E
 from prosemeter.operators import nested as N
+from prosemeter.operators import questions as Q
+from prosemeter.operators import scenes as Sn
 from prosemeter.operators import scorers as Sc
 from prosemeter.operators import stats as S
-from prosemeter.sources import writers
+from prosemeter.sources import readers, writers
 
 
 def test_first_rows_and_indices(spark):
@@ -101,3 +105,45 @@ def test_joined_perplexity(spark):
     assert Sc.word_counts(docs, "text") == counts and math.isclose(got[3], 1000)
     with pytest.raises(ValueError):
         Sc.word_counts(docs, "text", most=2)
+
+
+def test_samsa(spark):
+    texts = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "k int, n_sentences int")
+    scenes = [(1, ["runs"], [["dog"], ["cat", "hat"]], ["runs", "dog", "cat"]), (1, [], [], ["x"]), (2, ["a"], [["b"]], ["a", "b"]), (4, ["a"], [["b"], []], None)]
+    table = spark.createDataFrame(scenes, "k int, relation array<string>, participants array<array<string>>, words array<string>")
+    got = {r["k"]: r["samsa"] for r in Sn.samsa(texts, table, ["k"]).collect()}
+    assert got == {1: pytest.approx(100 * 2 / 4 * (0.5 + 0.25 + 0.25 + 0.25)), 2: 0.0, 3: 0.0, 4: pytest.approx(100 * 0.5 * 0.25)}
+    same = [{"relation": True, "participants": [True, False]}, {"relation": None, "participants": []}]
+    assert got[1] == pytest.approx(100 * W.samsa_score(same, 2))
+    assert Sn.corpus_samsa(texts, table, ["k"]).first()["n"] == 4
+    assert spark.range(1).select(Sn.scene_sentences(F.array(F.array(F.lit(3), F.lit(1)), F.array(F.lit(5), F.lit(2))))).first()[0] == [1, 0]
+
+
+def test_vector_score(spark):
+    rows = [(1, [[1.0, 0.0], [0.0, 2.0]], [[[0.0, 1.0]], [[3.0, 0.0], [0.0, 1.0]]]), (2, [[1.0, 0.0]], [[[0.0, 1.0]]]), (3, [[1.0, 0.0]], [])]
+    df = spark.createDataFrame(rows, "k int, out array<array<double>>, refs array<array<array<double>>>")
+    got = {r["k"]: r["s"] for r in df.select("k", Sn.vector_score("out", "refs").alias("s")).collect()}
+    assert got[1]["f1"] == pytest.approx(1.0) and got[2]["f1"] == 0.0 and got[3]["f1"] is None
+    assert Sn.corpus_vector_score(df, "out", "refs").first()["f1"] == pytest.approx(50.0)
+
+
+def test_question_chain(spark):
+    fact = lambda e: {"entity": e, "behavior": "b", "context": None, "priority": 1}
+    docs = spark.createDataFrame([("d1", "text one"), ("d2", "  "), ("d3", "text three")], "id string, text string")
+    assert [r["custom_id"] for r in Q.extraction_requests(docs, "id", "text", "Facts of: {text}", "m").orderBy("custom_id").collect()] == ["d1", "d3"]
+    replies = lambda rows: spark.createDataFrame(rows, "custom_id string, reply string")
+    matched = replies([("d1", json.dumps([[fact(f"e{k}"), fact("t")] for k in range(30)])), ("d3", "nothing")])
+    asked = Q.quiz_requests(matched, "{num_questions} about {keyfacts}", "m").collect()
+    prompt = asked[0]["body"]["messages"][0]["content"]
+    assert len(asked) == 1 and prompt.startswith("5 about [") and prompt.count("entity") == 20
+    quiz = replies([("d1", '```json\n[{"question":"q","options":{"A":"x"},"answer":" a"},{"question":"r","options":{},"answer":"B"}]\n```'), ("d3", "[]")])
+    read = Q.reader_requests(docs, "id", "text", quiz, {"adult": "{article}? {questions}", "child": "C {article}"}, "m", "child").collect()
+    assert [(r["custom_id"], r["body"]["messages"][0]["content"]) for r in read] == [("d1", "C text one")]
+    got = {r["id"]: (r["informativeness_score"], r["n_questions"]) for r in Q.informativeness(docs, "id", quiz, replies([("d1", '["A","c"]')])).collect()}
+    assert got == {"d1": (0.5, 2), "d2": (0.0, 0), "d3": (0.0, 0)}
+
+
+def test_piped_lines_and_fixed_width(spark):
+    rows = readers.piped_lines(spark, ["one\n", "  two \r\n", "\n"])
+    assert [tuple(r) for r in rows.collect()] == [(0, "one"), (1, "two"), (2, "")]
+    assert writers.fixed_width(rows, 2) == "row_id | text\n------ | ----\n0      | one\n1      | two\n..."
