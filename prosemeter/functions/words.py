@@ -50,6 +50,86 @@ def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+#: Characters of the shorter text up to which pairs of texts are compared many at a time, and how many.
+TOGETHER_CHARS, TOGETHER = 4096, 512
+
+
+def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """Levenshtein distances in characters. A column of each pair's table is held as bits, whether a cell is
+    one above or one below the cell before it; texts of like lengths take their steps together."""
+    out, wait = [0] * len(pairs), []
+    for k, (a, b) in enumerate(pairs):
+        if len(a) > len(b):
+            a, b = b, a
+        if not a or a == b:
+            out[k] = 0 if a == b else len(b)
+        elif len(a) > TOGETHER_CHARS:
+            out[k] = _distance(a, b)
+        else:
+            wait.append((-(-len(a) // 64), len(b), k, a, b))
+    wait.sort(key=lambda x: (-x[0], -x[1]))
+    for i in range(0, len(wait), TOGETHER):
+        some = sorted(wait[i : i + TOGETHER], key=lambda x: -x[1])  # those still in work come first
+        for (*_, k, _, _), d in zip(some, _distances([x[3:] for x in some])):
+            out[k] = int(d)
+    return out
+
+
+def _distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Of pairs by falling length of the second text, the first not empty."""
+    sizes = np.array([(len(a), len(b)) for a, b in pairs])
+    n_words = -(-int(sizes[:, 0].max()) // 64)
+    tables, rows, base = [np.zeros((1, n_words), np.uint64)], np.zeros((int(sizes[0, 1]), len(pairs)), np.int64), 1
+    for k, (a, b) in enumerate(pairs):
+        x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (a, b))
+        chars, code = np.unique(x, return_inverse=True)
+        bits = np.zeros((len(chars), n_words * 64), np.uint8)
+        bits[code, np.arange(len(x))] = 1
+        tables.append(np.packbits(bits, axis=1, bitorder="little").view("<u8"))
+        at = np.minimum(np.searchsorted(chars, y), len(chars) - 1)
+        rows[: len(y), k] = np.where(chars[at] == y, at + base, 0)  # row 0: a character that is not there
+        base += len(chars)
+    places = np.ascontiguousarray(np.concatenate(tables).T)
+    more = np.full((n_words, len(pairs)), np.iinfo(np.uint64).max, np.uint64)
+    less = np.zeros_like(more)
+    one, last = np.uint64(1), np.uint64(63)
+    active = np.searchsorted(-sizes[:, 1], -np.arange(int(sizes[0, 1])), side="left").tolist()  # longer than the step
+    for row, n in zip(rows, active):
+        row = row[:n]
+        up, down = np.ones(n, np.uint64), np.zeros(n, np.uint64)  # the first row rises by one a step
+        for w in range(n_words):
+            same, p, m = places[w][row], more[w, :n], less[w, :n]
+            vertical = same | m
+            same |= down
+            level = ((same & p) + p ^ p) | same
+            right, left = m | ~(level | p), p & level
+            next_up, next_down = right >> last, left >> last
+            right, left = right << one | up, left << one | down
+            more[w, :n], less[w, :n] = left | ~(vertical | right), right & vertical
+            up, down = next_up, next_down
+    # the column's end: its start, the length of the second text, and all steps down to the first one's length
+    word = np.arange(n_words)[:, None]
+    own = np.clip(sizes[:, 0][None] - 64 * word, 0, 64).astype(np.uint64)
+    mask = np.where(own == 64, np.iinfo(np.uint64).max, (one << np.minimum(own, last)) - one)
+    return sizes[:, 1] + np.bitwise_count(more & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(less & mask).sum(axis=0, dtype=np.int64)
+
+
+def _distance(a: str, b: str) -> int:
+    """Of one pair, the bits as whole numbers of any length."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    more, less = full, 0
+    for y in b:
+        same = at.get(y, 0)
+        level = ((same & more) + more ^ more) | same
+        right = (less | full & ~(level | more)) << 1 & full | 1
+        left, vertical = (more & level) << 1 & full, same | less
+        more, less = left | full & ~(vertical | right), right & vertical
+    return len(b) + more.bit_count() - less.bit_count()
+
+
 def common_runs(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, int]]:
     """(start in a, start in b, length) of common contiguous runs, longest first, none inside one already taken."""
     found = []
@@ -230,6 +310,14 @@ def minimal_centres(edges: dict[str, list[tuple[str, str]]], node: str) -> list[
     return [leaf for h in heads for leaf in minimal_centres(edges, h)]
 
 
+@F.pandas_udf(Ty.IntegerType())
+def levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
+    """As Spark's levenshtein, for texts of hundreds of characters, at a fraction of its time."""
+    whole = (a.notna() & b.notna()).to_numpy()
+    found = iter(edit_distances(list(zip(a[whole], b[whole]))))
+    return pd.Series([next(found) if x else None for x in whole], dtype="Int32")
+
+
 @F.pandas_udf(PAIRS)
 def lcs_alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     """0-based index pairs of the longest common subsequence of two word arrays."""

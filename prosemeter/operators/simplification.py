@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemeter.functions import text as T
+from prosemeter.functions.words import levenshtein
 
 ORDER = 4
 
@@ -210,11 +211,15 @@ def _numbered(tokens: Column) -> Column:
     return _let(F.array_sort(tokens), lambda s: _let(starts(s), lambda at: F.flatten(F.transform(at, lambda p, j: run(s, p, F.coalesce(F.get(at, j + 1), F.size(s)))))))
 
 
-def multiset_proportion(a: Column, b: Column) -> Column:
+def shared_tokens(a: Column, b: Column) -> Column:
+    """Tokens that two lists have in common, repeats counted."""
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
+
+
+def multiset_proportion(a: Column, b: Column, shared: Column | None = None) -> Column:
     """Share of a's tokens beyond those of b, over the longer length."""
-    left = F.size(F.array_except(_numbered(a), F.coalesce(_numbered(b), _numbered(a))))
     longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest > 0, left / longest).otherwise(0.0)
+    return F.when(longest > 0, (F.size(a) - F.coalesce(shared_tokens(a, b) if shared is None else shared, F.size(a))) / longest).otherwise(0.0)
 
 
 def quality_features(rows: DataFrame) -> DataFrame:
@@ -222,13 +227,14 @@ def quality_features(rows: DataFrame) -> DataFrame:
     n = {c: T.normalize(F.col(c), lowercase=False) for c in ("orig", "sys")}
     done = rows.withColumns({f"__{c}": x for c, x in n.items()})
     done = done.withColumns({"__ow": T.split_words(F.col("__orig")), "__sw": T.split_words(F.col("__sys"))})
+    done = done.withColumn("__both", shared_tokens(F.col("__ow"), F.col("__sw")))
     o, s = F.col("__orig"), F.col("__sys")
     longest = F.greatest(F.length(o), F.length(s))
     return done.withColumns({
         "compression": F.when(F.length(o) > 0, F.length(s) / F.length(o)).otherwise(0.0),
         "splits": T.boundary_sentences(F.col("__sw")) / F.greatest(T.boundary_sentences(F.col("__ow")), F.lit(1)),
-        "edit_similarity": F.when(longest > 0, 1 - F.levenshtein(o, s) / longest).otherwise(1.0),
+        "edit_similarity": F.when(longest > 0, 1 - levenshtein(o, s) / longest).otherwise(1.0),
         "exact": F.when(o == s, 1.0).otherwise(0.0),
-        "additions": multiset_proportion(F.col("__sw"), F.col("__ow")),
-        "deletions": multiset_proportion(F.col("__ow"), F.col("__sw")),
-    }).drop("__orig", "__sys", "__ow", "__sw")
+        "additions": multiset_proportion(F.col("__sw"), F.col("__ow"), F.col("__both")),
+        "deletions": multiset_proportion(F.col("__ow"), F.col("__sw"), F.col("__both")),
+    }).drop("__orig", "__sys", "__ow", "__sw", "__both")

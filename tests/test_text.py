@@ -76,6 +76,19 @@ def _sub(x, y):
     return all(c in it for c in x)
 
 
+def test_edit_distance(spark):
+    import random
+
+    draw = random.Random(3)
+    texts = ["", "a", "abc", None, "kitten", "sitting", "flaw", "lawn", *("".join(draw.choices("abcé\U0001d11e ", k=draw.randint(0, 90))) for _ in range(120))]
+    pairs = [(draw.choice(texts), draw.choice(texts)) for _ in range(400)] + [("abc" * 2000, "bca" * 1900)]
+    got = spark.createDataFrame(pairs, "a string, b string").select(W.levenshtein("a", "b").alias("own"), F.levenshtein("a", "b").alias("spark"))
+    assert got.where("not own <=> spark").count() == 0
+    assert W.edit_distances([("kitten", "sitting"), ("", ""), ("é", ""), ("\ud800a", "a")]) == [3, 0, 1, 1]
+    long = ["".join(draw.choices("abc ", k=n)) for n in (4097, 4200, 64, 65, 63, 128, 4096)]
+    assert W.edit_distances([(x, y) for x in long for y in long]) == [W._distance(x, y) if x != y else 0 for x in long for y in long]
+
+
 def test_runs_and_alignment():
     assert W.common_runs("a b c x y".split(), "x y a b c".split()) == [(0, 2, 3), (3, 0, 2)]
     assert (0, 0) in W.align_words("cats sat on the mat .".split(), "cat sat .".split())
