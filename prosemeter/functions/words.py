@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -318,6 +319,12 @@ def levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([next(found) if x else None for x in whole], dtype="Int32")
 
 
+@F.pandas_udf(Ty.IntegerType())
+def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Tokens that two arrays have in common, repeats counted."""
+    return pd.Series([(Counter(x) & Counter(y)).total() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
+
+
 @F.pandas_udf(PAIRS)
 def lcs_alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     """0-based index pairs of the longest common subsequence of two word arrays."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemeter.functions import text as T
-from prosemeter.functions.words import levenshtein
+from prosemeter.functions.words import levenshtein, shared_tokens
 
 ORDER = 4
 
@@ -199,23 +199,6 @@ def relative_sari(row_scores: DataFrame, keys: list[str]) -> DataFrame:
     return row_scores.withColumn("relative", F.when(mean > 0, F.col("sari") / mean).otherwise(0.0))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once although lambdas below refer to it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _numbered(tokens: Column) -> Column:
-    """Tokens with the number of their occurrence, so that multisets compare as sets; linear after a sort."""
-    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
-    run = lambda s, p, end: F.transform(F.sequence(p, end - 1), lambda k: F.concat_ws(" ", F.get(s, p), (k - p).cast("string")))
-    return _let(F.array_sort(tokens), lambda s: _let(starts(s), lambda at: F.flatten(F.transform(at, lambda p, j: run(s, p, F.coalesce(F.get(at, j + 1), F.size(s)))))))
-
-
-def shared_tokens(a: Column, b: Column) -> Column:
-    """Tokens that two lists have in common, repeats counted."""
-    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
-
-
 def multiset_proportion(a: Column, b: Column, shared: Column | None = None) -> Column:
     """Share of a's tokens beyond those of b, over the longer length."""
     longest = F.greatest(F.size(a), F.size(b))

@@ -89,6 +89,12 @@ def test_edit_distance(spark):
     assert W.edit_distances([(x, y) for x in long for y in long]) == [W._distance(x, y) if x != y else 0 for x in long for y in long]
 
 
+def test_shared_tokens(spark):
+    rows = [(["a", "b", "a", "a"], ["a", "c", "a"]), ([], ["a"]), (None, ["a"]), (["a", None], [None, "b"])]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(W.shared_tokens("a", "b").alias("n")).collect()
+    assert [r.n for r in got] == [2, 0, None, 1]
+
+
 def test_runs_and_alignment():
     assert W.common_runs("a b c x y".split(), "x y a b c".split()) == [(0, 2, 3), (3, 0, 2)]
     assert (0, 0) in W.align_words("cats sat on the mat .".split(), "cat sat .".split())
