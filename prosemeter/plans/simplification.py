@@ -44,16 +44,15 @@ def sari_by_row_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_k(rows, F.desc("sari"), KEYS)
 
 
-def _two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _two_systems(s: DataFrame) -> DataFrame:
     """Each sample under two systems: the next turn, and the source itself."""
-    s = samples(spark, sf_dir)
     both = F.array(F.struct(F.lit("next").alias("system"), F.col("sys").alias("sys")), F.struct(F.lit("copy").alias("system"), F.col("orig").alias("sys")))
     return s.select(*KEYS, "orig", "refs", F.inline(both))
 
 
 def sari_relative_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [*KEYS, "system"]
-    rows = M.sari(M.tokenised(_two_systems(spark, sf_dir)), keys, keys).select(*keys, "sari")
+    rows = M.sari(M.tokenised(_two_systems(samples(spark, sf_dir))), keys, keys).select(*keys, "sari")
     return rounded(M.relative_sari(rows, KEYS))
 
 
@@ -71,7 +70,7 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baselines_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.leaderboard(M.baselines(samples(spark, sf_dir)).where("system <> 'Reference*'"), KEYS)
+    return M.leaderboard(M.baselines(samples(spark, sf_dir), M.SYSTEMS[:3], low=True), KEYS, low=True)
 
 
 def reference_row(spark: SparkSession, sf_dir: str) -> DataFrame:
