@@ -111,7 +111,8 @@ def row_sums(samples: DataFrame, by: list[str], whole: bool = False) -> DataFram
     texts = dict(samples.dtypes)["orig"] == "string"
     joined = lambda c: F.array_join(c, " ")
     columns = [F.col(c) for c in ("orig", "sys", "refs")] if texts else [joined(F.col("orig")), joined(F.col("sys")), F.transform("refs", joined)]
-    return samples.select(*by, sample_sums(texts, whole)(*columns).alias("__s")).select(*by, "__s.*")
+    sums = sample_sums(texts, whole).asNondeterministic()  # else a filter on a sum makes a second call
+    return samples.select(*by, sums(*columns).alias("__s")).select(*by, "__s.*")
 
 
 def sari_of(micro: bool = False, f1_deletion: bool = True) -> list[Column]:

@@ -11,7 +11,7 @@ from prosemeter.operators import report as R
 from prosemeter.operators import simplification as M
 from prosemeter.operators import stats as S
 from prosemeter.plans import duck
-from prosemeter.plans.common import Query, rounded, samples, texts, turns, turns_sql
+from prosemeter.plans.common import Query, rounded, samples, texts, turn_runs, turns, turns_sql
 
 KEYS = ["conv_id", "turn"]
 
@@ -52,7 +52,7 @@ def _two_systems(s: DataFrame) -> DataFrame:
 
 def sari_relative_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [*KEYS, "system"]
-    rows = M.sari(M.tokenised(_two_systems(samples(spark, sf_dir))), keys, keys).select(*keys, "sari")
+    rows = M.sari(_two_systems(M.lowered(samples(spark, sf_dir, turn_runs))), keys, keys).select(*keys, "sari")
     return rounded(M.relative_sari(rows, KEYS))
 
 

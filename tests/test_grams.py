@@ -10,6 +10,7 @@ from prosemeter.functions import grams as G
 from prosemeter.functions import text as T
 from prosemeter.operators import simplification as M
 from prosemeter.plans import simplification as P
+from prosemeter.plans.common import turn_runs, turns
 
 ODD = [*"aB9 .,-!\"'&;$/\t\n\xa0é…", "..", ",.", "5.", ".5", "9,000", "-\n", "<skipped>", "&quot;", "&amp;lt;", "x-y", "3-4", "😀", " ", "É"]
 
@@ -91,8 +92,20 @@ def test_chosen_baselines(odd_rows):
         assert a.exceptAll(b.select(a.columns)).count() == 0
 
 
-@pytest.mark.parametrize("query", [P.baselines_leaderboard])
+def test_turn_runs_are_turns(spark, tmp_path):
+    """Long conversations, gaps, repeated turns, turns below zero, nulls."""
+    r = random.Random(5)
+    rows = [(c, t, "user", None if r.random() < 0.05 else f"{c} {t} {r.random()}") for c in range(9) for t in range(-40, 90) for _ in range(r.choice([0, 1, 1, 1, 1, 1, 1, 2]))]
+    rows += [(None, t, "user", f"none {t}") for t in range(30)] + [(c, None, "user", f"lost {c}") for c in range(3)]
+    path = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    for n in (2, 4):
+        a, b = turns(spark, path, n), turn_runs(spark, path, n)
+        assert a.schema == b.schema and a.count() == b.count() > 100 and a.exceptAll(b).count() == 0
+
+
+@pytest.mark.parametrize("query", [P.baselines_leaderboard, P.sari_relative_window])
 def test_no_row_a_gram(spark, data, query):
     """Of tokens and grams no rows are made: only turns and systems are."""
     plan = query(spark, data)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Generate ") <= 2
+    assert plan.count("Generate ") <= 3 and plan.count("ArrowEvalPython") == 1
