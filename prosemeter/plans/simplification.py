@@ -74,7 +74,7 @@ def baselines_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.leaderboard(M.baselines(samples(spark, sf_dir)).where("system = 'Reference*'"), KEYS)
+    return M.leaderboard(M.baselines(samples(spark, sf_dir, turn_runs), M.SYSTEMS[3:], low=True), KEYS, low=True)
 
 
 def quality_estimation(spark: SparkSession, sf_dir: str) -> DataFrame:

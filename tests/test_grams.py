@@ -104,7 +104,7 @@ def test_turn_runs_are_turns(spark, tmp_path):
         assert a.schema == b.schema and a.count() == b.count() > 100 and a.exceptAll(b).count() == 0
 
 
-@pytest.mark.parametrize("query", [P.baselines_leaderboard, P.sari_relative_window])
+@pytest.mark.parametrize("query", [P.baselines_leaderboard, P.sari_relative_window, P.reference_row])
 def test_no_row_a_gram(spark, data, query):
     """Of tokens and grams no rows are made: only turns and systems are."""
     plan = query(spark, data)._jdf.queryExecution().optimizedPlan().toString()
