@@ -70,7 +70,7 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baselines_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.leaderboard(M.baselines(samples(spark, sf_dir), M.SYSTEMS[:3], low=True), KEYS, low=True)
+    return M.leaderboard(M.baselines(samples(spark, sf_dir, turn_runs), M.SYSTEMS[:3], low=True), KEYS, low=True)
 
 
 def reference_row(spark: SparkSession, sf_dir: str) -> DataFrame:
